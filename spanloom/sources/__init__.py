@@ -1,0 +1 @@
+"""Files of signal tracks and sequences as Spark data sources."""
