@@ -86,37 +86,49 @@ def acquisition_grades(rates: dict[str, dict[int, float]], levels: list[int], ac
 
 
 def fit(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """The model of the labelled documents. Their words are counted in Spark; per word and level one row is collected."""
-    sample = documents.select("doc_id", "text").join(F.broadcast(labelled(labels, limit)), "doc_id")
+    """The model of the labelled documents.
+
+    Their words are counted in Spark; the driver gets one row per known word and level, and then, per document, the
+    quantiles of its words' grades.
+    """
+    spark = documents.sparkSession
+    sample = documents.select("doc_id", "text").join(F.broadcast(labelled(labels, limit)), "doc_id").select("text", "level")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, lv, ws, ns = [], [], [], []
-            for doc, text, level in zip(*(c.to_pylist() for c in batch.columns)):
-                for w, n in Counter(spoken.forms(text)).items():
-                    docs.append(doc), lv.append(level), ws.append(w), ns.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(lv, pa.int32()), pa.array(ws, pa.string()), pa.array(ns, pa.int32())], names=["doc_id", "level", "word", "n"])
-
-    kind = to_arrow_type(documents.schema["doc_id"].dataType)
-    counted = sample.select("doc_id", "text", "level").mapInArrow(words, documents.select("doc_id").schema.add("level", T.IntegerType()).add("word", T.StringType()).add("n", T.IntegerType()))
-    # at most `limit` documents: their words fit the driver
-    rows = counted.where(~F.col("word").contains("*")).toPandas()
+            lv, ws, ns = [], [], []
+            for text, level in zip(*(c.to_pylist() for c in batch.columns)):
+                for w, n in Counter(f for f in spoken.forms(text) if "*" not in f).items():
+                    lv.append(level), ws.append(w), ns.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(lv, pa.int32()), pa.array(ns, pa.int32())], names=["word", "level", "n"])
+
+    counts = sample.mapInArrow(words, "word string, level int, n int").groupBy("word", "level").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    # the sample's size bounds its words
+    rows = counts.toPandas()
     if rows.empty:
         raise ValueError("no labelled document has spoken words")
-    levels = sorted(int(x) for x in rows["level"].unique())
+    levels = sorted(int(v) for v in rows["level"].unique())
     total = rows.groupby("level")["n"].sum()
-    spread = rows.groupby("word")["doc_id"].nunique()
-    known = rows[rows["word"].map(spread) >= min(MIN_DOCS, rows["doc_id"].nunique())]
+    spread = rows.groupby("word")["docs"].sum()
+    known = rows[rows["word"].map(spread) >= min(MIN_DOCS, int(spread.max()))]
     rates: dict[str, dict[int, float]] = {}
-    for (word, level), n in known.groupby(["word", "level"])["n"].sum().items():
-        rates.setdefault(word, {})[int(level)] = n / total[level]
+    for row in known.itertuples():
+        rates.setdefault(row.word, {})[int(row.level)] = row.n / total[row.level]
     grades = acquisition_grades(rates, levels)
-    known = known.assign(grade=known["word"].map(grades))
-    per_doc, truth = [], []
-    for _, own in known.groupby("doc_id"):
-        per_doc.append(np.quantile(np.repeat(own["grade"].to_numpy(), own["n"].to_numpy()), QUANTILES))
-        truth.append(int(own["level"].iloc[0]))
-    x, y = np.array(per_doc), np.array(truth)
+    table = spark.sparkContext.broadcast(grades)
+
+    def quantiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lv, qs = [], []
+            for text, level in zip(*(c.to_pylist() for c in batch.columns)):
+                own = [table.value[f] for f in spoken.forms(text) if f in table.value]
+                if own:
+                    lv.append(level), qs.append(np.quantile(own, QUANTILES).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(lv, pa.int32()), pa.array(qs, pa.list_(pa.float64()))], names=["level", "q"])
+
+    described = sample.mapInArrow(quantiles, "level int, q array<double>").collect()
+    per_doc, truth = [r.q for r in described], [r.level for r in described]
+    x, y = np.array(per_doc), np.array(truth, dtype=int)
     middle = int(np.sort(y)[len(y) // 2]) if len(y) else levels[len(levels) // 2]
     best = Model(grades, 0.5, [], levels[:1], middle)
     best_score = -1.0

@@ -27,9 +27,9 @@ def collapse_runs(df: DataFrame, by: Sequence[str] = ("track_id", "chrom"), same
 
     ``run_start`` is the first row's start, ``run_end`` the last row's end. One shuffle of the rows, by (group, block).
     """
-    by, same = list(by), list(same)
+    named, by, same = list(by), [f"__k{i}" for i in range(len(by))], list(same)
     value = F.col("value").cast("double")
-    rows = df.select(*by, F.col("start").alias("s"), F.col("end").alias("e"), value.alias("v"), *[F.col(c).alias(f"__same{i}") for i, c in enumerate(same)])
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(named, by)], F.col("start").alias("s"), F.col("end").alias("e"), value.alias("v"), *[F.col(c).alias(f"__same{i}") for i, c in enumerate(same)])
     rows = rows.dropna(subset=[*by, "s", "e", "v"]).where(~F.isnan("v"))
     rows = rows.withColumn("block", F.floor(F.col("s") / F.lit(block)))
     extra = [f"__same{i}" for i in range(len(same))]
@@ -65,4 +65,4 @@ def collapse_runs(df: DataFrame, by: Sequence[str] = ("track_id", "chrom"), same
     whole = parts.groupBy(*by, "place", "whole").agg(
         F.min("run_start").alias("run_start"), F.max_by("last_e", "n").alias("run_end"), F.sum("n_rows").alias("n_rows"), F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"),
     )
-    return whole.where(F.col("n_rows") >= min_rows).select(*by, *OUT)
+    return whole.where(F.col("n_rows") >= min_rows).select(*[F.col(k).alias(c) for c, k in zip(named, by)], *OUT)
