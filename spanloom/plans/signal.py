@@ -16,8 +16,11 @@ from spanloom.functions.encode import bfloat16_bits
 from spanloom.operators import algebra, batch, overlap, sample
 from spanloom.operators import values as val
 from spanloom.plans import tables
-from spanloom.session import table
+from spanloom.session import new_folder, table
+from spanloom.sources import bigwig, fasta
+from spanloom.sources.bigwig_writer import write_tracks
 from spanloom.sources.paths import tracks_with_scale
+from spanloom.streaming import queries as stream
 
 KEYS = [("liver", 2.0), ("old/liver", 3.0), ("TRK700013", 7.0), ("kidney/accx", 5.0), ("Nerve", 4.0), ("signal", 1.5), ("colon/TRK700143.bigWig", 9.0)]
 WINDOW, BATCH, DRAWS, SEQUENCE, PIECE = 128, 256, 5000, 400, 256
@@ -252,7 +255,7 @@ def unknown_base_fraction(s: SparkSession, d: str) -> DataFrame:
 
 
 def filter_unknown_bases(s: SparkSession, d: str) -> DataFrame:
-    return tables.sequences(s, d).where(sequence.unknown_fraction(F.col("sequence")) <= 0.8).select("doc_id", F.length("sequence").alias("n"))
+    return tables.sequences(s, d).where(sequence.unknown_fraction(F.col("sequence")) <= 0.915).select("doc_id", F.length("sequence").alias("n"))
 
 
 def sequence_slice(s: SparkSession, d: str) -> DataFrame:
@@ -297,6 +300,35 @@ def query_batches(s: SparkSession, d: str) -> DataFrame:
     return rows.join(picked, "batch_id").select("batch_id", "query_id", "chrom", "start", "end", "track_ids")
 
 
+def bigwig_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Steps written to one file per track and read again."""
+    bigwig.register(s)
+    sizes = {r.chrom: r.chrom_size for r in table(s, d, "chroms").select("chrom", "chrom_size").collect()}
+    folder = new_folder(s, "tracks")
+    write_tracks(tables.steps(s, d), sizes, folder).collect()
+    return s.read.format("bigwig").load(folder).withColumn("value", F.col("value").cast("double"))
+
+
+def fasta_scan(s: SparkSession, d: str) -> DataFrame:
+    """Sequences written as text files and read in chunks."""
+    fasta.register(s)
+    folder = new_folder(s, "sequences")
+    fasta.write_sequences(tables.sequences(s, d).select(F.col("doc_id").cast("string").alias("chrom"), "sequence"), folder).collect()
+    return s.read.format("fasta").option("chunk_size", PIECE).load(folder)
+
+
+def stream_query_batches(s: SparkSession, d: str) -> DataFrame:
+    """Windowed means of the queries, answered in micro-batches."""
+    out, state = new_folder(s, "answers"), new_folder(s, "state")
+    stream.answer(stream.read_queries(s, f"{d}/stream_queries.parquet"), tables.tracks(s, d), tables.steps(s, d), out, state, WINDOW).awaitTermination()
+    rows = stream.answers(s, out).select("batch_id", "query_id", "track_id", F.posexplode("values").alias("bin", "v"))
+    return rows.select("batch_id", "query_id", "track_id", "bin", _r("v").alias("value"))
+
+
+def late_queries(s: SparkSession, d: str) -> DataFrame:
+    return stream.late(tables.queries(s, d), 1).select("batch_id", "query_id")
+
+
 _STEPS = """s0 AS (SELECT DISTINCT track_id, chrom, start, "end", value, run_day FROM track_intervals WHERE track_id IS NOT NULL AND chrom IS NOT NULL AND start IS NOT NULL
   AND "end" IS NOT NULL AND run_day IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND "end" > start),
 s AS (SELECT track_id, chrom, start, "end", CAST(value AS DOUBLE) AS value FROM s0)"""
@@ -434,11 +466,15 @@ SELECT batch_id, query_id, i // least(5, n) AS slice_id FROM a WHERE i // least(
         "query_slice": 'SELECT query_id, chrom, start, "end" FROM stream_queries WHERE query_id >= 100 AND query_id < 400',
         "track_subset_ordered": """SELECT query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS track_no, unnest(t) AS track_id FROM (SELECT query_id, coalesce(track_ids, (SELECT list(track_id ORDER BY track_id) FROM tracks)) AS t FROM stream_queries)""",
         "unknown_base_fraction": f"WITH {_SEQ} SELECT doc_id, round(length(regexp_replace(sequence, '[ACGT]', '', 'g')) / length(sequence), 6) AS fraction FROM q",
-        "filter_unknown_bases": f"WITH {_SEQ} SELECT doc_id, CAST(length(sequence) AS INTEGER) AS n FROM q WHERE length(regexp_replace(sequence, '[ACGT]', '', 'g')) / length(sequence) <= 0.8",
+        "filter_unknown_bases": f"WITH {_SEQ} SELECT doc_id, CAST(length(sequence) AS INTEGER) AS n FROM q WHERE length(regexp_replace(sequence, '[ACGT]', '', 'g')) / length(sequence) <= 0.915",
         "sequence_slice": f"WITH {_SEQ} SELECT CAST(doc_id AS VARCHAR) AS chrom, doc_id * 37 % 1500 AS start, doc_id * 37 % 1500 + {SEQUENCE} AS \"end\", substr(sequence, doc_id * 37 % 1500 + 1, {SEQUENCE}) AS sequence FROM q",
         "onehot_iupac": f"WITH {_SEQ}, l AS (SELECT *, CAST(length(sequence) AS INTEGER) AS n FROM q) SELECT doc_id, n, " + ", ".join(f"CAST(round({e}, 3) AS DOUBLE) AS {b}" for b, e in iupac.items()) + " FROM l",
         "sample_positions_hash": f"WITH {_DRAWN} SELECT * FROM dp",
         "sample_tracks_hash": f"SELECT batch_id, {_PICK} AS track_ids FROM (SELECT DISTINCT batch_id FROM stream_queries) b",
+        "bigwig_roundtrip": f"WITH {_STEPS} SELECT * FROM s",
+        "fasta_scan": f"WITH {_SEQ}, k AS (SELECT doc_id, sequence, unnest(range((length(sequence) - 1) // {PIECE} + 1)) AS chunk FROM q) SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(chunk AS INTEGER) AS chunk, substr(sequence, chunk * {PIECE} + 1, {PIECE}) AS letters FROM k",
+        "stream_query_batches": f"{_windows(WINDOW)} SELECT q.batch_id, c.query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(0.0)} AS value FROM c JOIN stream_queries q ON c.query_id = q.query_id",
+        "late_queries": "SELECT batch_id, query_id FROM (SELECT *, min(received_at) OVER (PARTITION BY batch_id) AS f FROM stream_queries) WHERE received_at > f + INTERVAL 1 MINUTE",
         "query_batches": f"""WITH {_DRAWN}, w AS (SELECT draw AS query_id, chrom, center - 500 AS start, center + 500 AS "end", draw // {BATCH} AS batch_id FROM dp), b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {_PICK} AS track_ids FROM b)
 SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.batch_id = pk.batch_id""",
     }
@@ -451,6 +487,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
-        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches,
+        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
     ]
     return {f.__name__: f for f in found}

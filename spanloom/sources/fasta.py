@@ -1,9 +1,9 @@
 """A Spark data source for FASTA files: ``spark.read.format("fasta").load(path)`` gives ``(chrom, chunk, letters)``.
 
 The driver finds where each sequence starts and how its lines are laid out, from the ``.fai`` index beside the file or
-by one pass over it; tasks then read the bytes of their chunks. Only sequences whose lines have one length can be read
-by position, as an index demands. Options: ``path``, ``chunk_size``, ``partition_chunks``. A filter on chrom reaches
-the planning.
+by one pass over it; of a folder, all files with one of the extensions. Tasks then read the bytes of their chunks. Only sequences whose lines have one length can be read
+by position, as an index demands. Options: ``path``, ``extensions``, ``chunk_size``, ``partition_chunks``. A filter on
+chrom reaches the planning.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from spanloom.sources.paths import find_files
+
+EXTENSIONS = (".fa", ".fasta")
 CHUNK = 1 << 16
 PARTITION_CHUNKS = 256
 
@@ -65,7 +70,7 @@ def index(path: str) -> list[Entry]:
 
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.paths = find_files(options["path"], options.get("extensions", ",".join(EXTENSIONS)).split(","))
         self.chunk = int(options.get("chunk_size", CHUNK))
         self.per_partition = int(options.get("partition_chunks", PARTITION_CHUNKS))
         self.names: set[str] | None = None
@@ -79,15 +84,18 @@ class FastaReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for e in index(self.path):
-            if self.names is None or e.name in self.names:
-                n = -(-e.length // self.chunk)
-                parts += [Stretch(self.path, e, i, min(i + self.per_partition, n)) for i in range(0, n, self.per_partition)]
-        return parts or [Stretch(self.path, Entry("", 0, 0, 1, 1), 0, 0)]
+        for path in self.paths:
+            for e in index(path):
+                if self.names is None or e.name in self.names:
+                    n = -(-e.length // self.chunk)
+                    parts += [Stretch(path, e, i, min(i + self.per_partition, n)) for i in range(0, n, self.per_partition)]
+        return parts or [Stretch("", Entry("", 0, 0, 1, 1), 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Stretch)
         e = partition.entry
+        if not partition.path:
+            return
         with open(partition.path, "rb") as f:
             for n in range(partition.first, partition.last):
                 lo, hi = n * self.chunk, min((n + 1) * self.chunk, e.length)
@@ -96,6 +104,27 @@ class FastaReader(DataSourceReader):
                 yield e.name, n, f.read(end - start).translate(None, b"\r\n").decode("ascii")
 
 
+def write_sequences(df: DataFrame, folder: str, width: int = 60) -> DataFrame:
+    """Write (chrom, sequence) rows as ``<folder>/part_<n>.fa``, one file a partition; returns ``(path, n)`` when acted on.
+
+    A task that is run again replaces its file. Null names or sequences are left out. The folder is one that all
+    executors share.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        target = f"{folder}/part_{TaskContext.get().partitionId():05d}.fa"
+        with open(f"{target}.{os.getpid()}", "w") as out:
+            for batch in batches:
+                for name, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    out.write(f">{name}\n" + "".join(letters[i : i + width] + "\n" for i in range(0, len(letters), width)))
+                    n += 1
+        os.replace(f"{target}.{os.getpid()}", target)
+        yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "n"])
+
+    return df.select("chrom", "sequence").dropna().mapInArrow(write, "path string, n bigint")
+
+
 class FastaSource(DataSource):
     """Chunks of the sequences of a FASTA file."""
 

@@ -7,6 +7,8 @@ replaced when it is run again, so a restart after a failure leaves every result
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,8 +19,12 @@ NUMBER = "micro_batch"
 
 
 def read_queries(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Queries as a stream of Parquet files, of the schema the files already there have."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Queries as a stream of Parquet files of a folder, or of one file, of the schema the files already there have."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if os.path.isfile(path):  # a stream watches folders
+        folder, name = os.path.split(path)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def answer(queries: DataFrame, tracks: DataFrame, steps: DataFrame, out: str, checkpoint: str, window_size: int = 1, default: float = 0.0, available_now: bool = True) -> StreamingQuery:
