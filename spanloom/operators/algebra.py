@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.chrom import standard_chromosomes
 from spanloom.operators.blocks import carried, join_on_same
 from spanloom.operators.overlap import BIN
+from spanloom.session import checkpoint
 
 BLOCK = 1 << 22
 
@@ -120,7 +121,8 @@ def intervals(
     if padding:
         kept = padded(kept, padding)
     if merged:
-        kept = merge(kept, ["chrom"], merge_allow_gap)
+        # what is left of the tracks is written once: merging reads its input twice, for the rows and for the blocks' ends
+        kept = merge(checkpoint(kept), ["chrom"], merge_allow_gap)
     if blacklist is not None and (padding or merged):
         kept = subtract(kept, blacklist, blacklist_buffer)
     return kept

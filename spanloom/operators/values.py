@@ -39,13 +39,12 @@ def chosen_tracks(queries: DataFrame, tracks: DataFrame) -> DataFrame:
     return queries.select(*[c for c in queries.columns if c != "track_ids"], F.posexplode(named).alias("track_no", "track_id"))
 
 
-def window_sums(queries: DataFrame, steps: DataFrame, window_size: int = 1, bin_size: int = BIN) -> DataFrame:
-    """``(query_id, track_id, bin, total, covered)`` of the windows that any step touches.
+def hits(queries: DataFrame, steps: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """``(query_id, track_id, q_start, n_bases, lo, hi, value)``: what of each step lies in each query, from the query's start.
 
-    ``queries`` has query_id, chrom, start, end and maybe track_id to restrict it to some tracks.
+    ``queries`` has query_id, chrom, start, end and maybe track_id to restrict it to some tracks. Rows are partitioned
+    by (query_id, track_id), so all that follows needs no further shuffle of them.
     """
-    if window_size < 1:
-        raise ValueError("a window has one base at least")
     some = "track_id" in queries.columns
     q = queries.select("query_id", "chrom", F.col("start").alias("q_start"), F.col("end").alias("q_end"), *([F.col("track_id").alias("q_track")] if some else []))
     s = steps.select("track_id", "chrom", "start", "end", F.col("value").cast("double").alias("value")).dropna(subset=["track_id", "chrom", "start", "end"]).where(F.col("value").isNotNull())
@@ -55,20 +54,34 @@ def window_sums(queries: DataFrame, steps: DataFrame, window_size: int = 1, bin_
     met = overlap_join(q, s, bin_size=bin_size)
     if some:
         met = met.where(F.array_contains("q_tracks", F.col("track_id")))
+    lo, hi = F.greatest("start", "q_start") - F.col("q_start"), F.least("end", "q_end") - F.col("q_start")
+    return met.select("query_id", "track_id", (F.col("q_end") - F.col("q_start")).alias("n_bases"), lo.alias("lo"), hi.alias("hi"), "value").repartition("query_id", "track_id")
+
+
+def window_sums(queries: DataFrame, steps: DataFrame, window_size: int, bin_size: int = BIN) -> DataFrame:
+    """``(query_id, track_id, bin, total, covered)`` of the windows that any step touches."""
     w = F.lit(window_size)
-    lo, hi = F.greatest("start", "q_start"), F.least("end", "q_end")
-    bins = F.sequence(F.floor((lo - F.col("q_start")) / w), F.floor((hi - 1 - F.col("q_start")) / w))
-    cells = met.select("query_id", "track_id", "q_start", lo.alias("lo"), hi.alias("hi"), "value", F.floor((F.col("q_end") - F.col("q_start")) / w).alias("n"), F.explode(bins).alias("bin")).where("bin < n")
-    base = F.col("q_start") + F.col("bin") * w
-    n = F.least("hi", base + w) - F.greatest("lo", base)
+    cells = hits(queries, steps, bin_size).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / w), F.floor((F.col("hi") - 1) / w)))).where(F.col("bin") < F.floor(F.col("n_bases") / w))
+    n = F.least("hi", (F.col("bin") + 1) * w) - F.greatest("lo", F.col("bin") * w)
     return cells.groupBy("query_id", "track_id", "bin").agg(F.sum(F.col("value") * n).alias("total"), F.sum(n).alias("covered"))
 
 
-def _cell(total: Column, covered: Column, window_size: int, default: float) -> Column:
-    """Mean over the window with the default in uncovered bases; with a NaN default, mean over the covered ones."""
-    if default != default:
-        return F.when(covered > 0, total / covered).otherwise(F.lit(NAN))
-    return F.when(covered > 0, (total + (window_size - covered) * default) / window_size).otherwise(F.lit(float(default)))
+def _mean(window_size: int, default: float) -> Column:
+    """Mean over a touched window with the default in uncovered bases; with a NaN default, mean over the covered ones."""
+    total, covered = F.col("total"), F.col("covered")
+    return total / covered if default != default else (total + (window_size - covered) * default) / window_size
+
+
+def _filled(runs: Column, length: Column, default: float) -> Column:
+    """An array of ``length`` cells from sorted runs (lo, hi, v), the default before, between and after them."""
+    blank = F.lit(float(default))
+
+    def cells(run: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(runs, i - 1)["hi"]).otherwise(F.lit(0))
+        return F.concat(F.array_repeat(blank, (run["lo"] - before).cast("int")), F.array_repeat(run["v"], (run["hi"] - run["lo"]).cast("int")))
+
+    last = F.coalesce(F.get(runs, F.size(runs) - 1)["hi"], F.lit(0))
+    return F.concat(F.flatten(F.transform(runs, cells)), F.array_repeat(blank, (length - last).cast("int")))
 
 
 def value_arrays(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window_size: int = 1, default: float = 0.0, bin_size: int = BIN) -> DataFrame:
@@ -76,20 +89,27 @@ def value_arrays(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window
 
     ``tracks`` lists the tracks there are; ``queries`` may name its own in ``track_ids``.
     """
+    if window_size < 1:
+        raise ValueError("a window has one base at least")
     grid = chosen_tracks(queries, tracks).select("query_id", "chrom", "start", "end", "track_no", "track_id")
-    sums = window_sums(grid if "track_ids" in queries.columns else queries, steps, window_size, bin_size)
-    per_track = sums.groupBy("query_id", "track_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("total", "covered")))).alias("found"))
+    asked = grid if "track_ids" in queries.columns else queries
+    if window_size == 1:  # a step is a run of equal cells as it is
+        runs = hits(asked, steps, bin_size).select("query_id", "track_id", "lo", "hi", F.col("value").alias("v"))
+    else:
+        runs = window_sums(asked, steps, window_size, bin_size).select("query_id", "track_id", F.col("bin").alias("lo"), (F.col("bin") + 1).alias("hi"), _mean(window_size, default).alias("v"))
+    per_track = runs.groupBy("query_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "v"))).alias("runs"))
     joined = grid.join(per_track, ["query_id", "track_id"], "left")
-    length = F.floor((F.col("end") - F.col("start")) / window_size)
-    hit = lambda k: F.try_element_at("found", k)
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), length - 1), lambda k: _cell(hit(k)["total"], F.coalesce(hit(k)["covered"], F.lit(0)), window_size, default))
-    return joined.select("query_id", "track_no", "track_id", F.when(length > 0, cells).otherwise(F.array().cast("array<double>")).alias("values"))
+    length = F.greatest(F.floor((F.col("end") - F.col("start")) / window_size), F.lit(0))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint,v:double>>")
+    joined = joined.withColumn("runs", F.coalesce("runs", none)).withColumn("length", length)
+    return joined.select("query_id", "track_no", "track_id", _filled(F.col("runs"), F.col("length"), default).alias("values"))
 
 
 def values(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window_size: int = 1, default: float = 0.0, bin_size: int = BIN) -> DataFrame:
     """``(query_id, track_no, track_id, bin, value)``, one row per window, defaults filled in."""
     arrays = value_arrays(queries, tracks, steps, window_size, default, bin_size)
-    return arrays.select("query_id", "track_no", "track_id", F.posexplode("values").alias("bin", "value"))
+    # the outer form, as Spark would else build each array a second time to see that it isn't empty
+    return arrays.select("query_id", "track_no", "track_id", F.posexplode_outer("values").alias("bin", "value")).where(F.col("bin").isNotNull())
 
 
 def dense(arrays: DataFrame) -> DataFrame:

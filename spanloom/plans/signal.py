@@ -160,7 +160,7 @@ def _arrays(s: SparkSession, d: str, window: int, default: float, scaled: bool =
 
 
 def _long(arrays: DataFrame) -> DataFrame:
-    rows = arrays.select("query_id", "track_id", F.posexplode("values").alias("bin", "v"))
+    rows = arrays.select("query_id", "track_id", F.posexplode_outer("values").alias("bin", "v")).where(F.col("bin").isNotNull())
     return rows.select("query_id", "track_id", "bin", F.when(F.isnan("v"), None).otherwise(_r("v")).alias("value"))
 
 
@@ -261,8 +261,8 @@ def filter_unknown_bases(s: SparkSession, d: str) -> DataFrame:
 def sequence_slice(s: SparkSession, d: str) -> DataFrame:
     """Windows of texts read as sequences stored in chunks."""
     seqs = tables.sequences(s, d)
-    chunked = seqs.select(F.col("doc_id").cast("string").alias("chrom"), "sequence", F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE).cast("int"))).alias("chunk"))
-    genome = chunked.select("chrom", "chunk", F.substring("sequence", F.col("chunk") * PIECE + 1, F.lit(PIECE)).alias("letters"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE).cast("int")), lambda i: F.substring("sequence", i * PIECE + 1, F.lit(PIECE)))
+    genome = seqs.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode(pieces).alias("chunk", "letters"))
     first = F.pmod(F.col("doc_id") * 37, F.lit(1500))
     ranges = seqs.select(F.col("doc_id").cast("string").alias("chrom"), first.alias("start"), (first + SEQUENCE).alias("end"))
     return sequence.slices(ranges, genome, PIECE)
