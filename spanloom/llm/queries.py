@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.chrom import BLANKS, resolve, spelling
 from spanloom.llm import cross_split, group_split, leaks, mixture, quantiles, reading, runs, tokens
-from spanloom.session import table
+from spanloom.session import checkpoint, table
 
 TRACK_KEY = ["track_id", "chrom", "start", "end", "value", "run_day"]
 PCTS = (20, 50, 80)
@@ -109,12 +109,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.capacity(sizes, table(spark, folder, "mix_targets")).where("short").select("source")
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents, written once as the mixture reads them several times."""
+    return checkpoint(tokens.token_sizes(table(spark, folder, "documents")))
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.shares(tokens.token_sizes(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
+    return mixture.shares(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture.mixture(tokens.token_sizes(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
+    return mixture.mixture(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
