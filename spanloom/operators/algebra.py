@@ -85,24 +85,38 @@ def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = B
     """Intervals without the bases ``holes`` cover; an interval may fall into several, each keeping all other columns.
 
     ``buffer`` widens the holes first, their starts not below 0. Holes may overlap one another and name chromosomes
-    that the intervals lack. Repeated intervals stay repeated. Memory per interval grows with the holes inside it.
+    that the intervals lack. Repeated intervals stay repeated.
+
+    Merged holes are listed per (chromosome, bin), at most one for every two bases. An interval within one bin, the
+    usual case, meets its list in one join. Those over several bins meet their holes one by one and are grouped by all
+    their columns; their memory grows with the holes inside one interval.
     """
     if buffer:
         holes = padded(holes, buffer)
-    cut = merge(holes.select("chrom", "start", "end")).withColumnsRenamed({"start": "__hs", "end": "__he"})
     columns = df.columns
-    rows = df.where("end > start and chrom is not null").groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    binned = rows.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))))
-    cut = cut.withColumn("__hbin", F.explode(F.sequence(F.floor(F.col("__hs") / bin_size), F.floor((F.col("__he") - 1) / bin_size)))).withColumnRenamed("chrom", "__hchrom")
+    cut = merge(holes.select("chrom", "start", "end")).select(F.col("chrom").alias("__hchrom"), F.col("start").alias("__hs"), F.col("end").alias("__he"))
+    cut = cut.withColumn("__hbin", F.explode(F.sequence(F.floor(F.col("__hs") / bin_size), F.floor((F.col("__he") - 1) / bin_size))))
+    rows = df.where("end > start and chrom is not null").withColumns({"__bin": F.floor(F.col("start") / bin_size), "__last": F.floor((F.col("end") - 1) / bin_size)})
+    same = (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin"))
+
+    listed = cut.groupBy("__hchrom", "__hbin").agg(F.array_sort(F.collect_list(F.struct("__hs", "__he"))).alias("__all"))
+    short = rows.where(F.col("__bin") == F.col("__last")).join(listed, same, "left")
+    own = F.filter(F.coalesce("__all", F.array().cast(listed.schema["__all"].dataType)), lambda h: (h["__hs"] < F.col("end")) & (h["__he"] > F.col("start")))
+    short = short.withColumn("__holes", own).withColumn("__n", F.lit(1).cast("bigint")).select(*columns, "__n", "__holes")
+
+    long = rows.where(F.col("__bin") < F.col("__last")).groupBy(*columns, "__bin", "__last").agg(F.count(F.lit(1)).alias("__n"))
+    long = long.withColumn("__bin", F.explode(F.sequence("__bin", "__last")))
     first = F.floor(F.greatest(F.col("start"), F.col("__hs")) / bin_size)
-    hit = binned.join(cut, (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin")) & (F.col("__hs") < F.col("end")) & (F.col("__he") > F.col("start")) & (F.col("__bin") == first), "left")
+    hit = long.join(cut, same & (F.col("__hs") < F.col("end")) & (F.col("__he") > F.col("start")) & (F.col("__bin") == first), "left")
     hole = F.when(F.col("__hs").isNotNull(), F.struct("__hs", "__he"))
-    grouped = hit.groupBy(*columns).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(hole)).alias("__holes"))
+    long = hit.groupBy(*columns).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(hole)).alias("__holes"))
+
     starts = F.concat(F.array("start"), F.transform("__holes", lambda h: h["__he"]))
     ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array("end"))
     pieces = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] < p["e"])
-    cut_up = grouped.withColumn("__piece", F.explode(pieces)).withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")})
-    return cut_up.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
+    copies = F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("__n")), lambda _: pieces))
+    cut_up = short.unionByName(long).withColumn("__piece", F.explode_outer(copies)).where(F.col("__piece").isNotNull())
+    return cut_up.withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
 
 
 def intervals(

@@ -153,6 +153,17 @@ def zoom_summary(s: SparkSession, d: str) -> DataFrame:
     return a.withColumns({"sum_values": _r("sum_values", 3), "sum_squares": _r(F.col("sum_squares") / F.col("valid_count"), 3)})
 
 
+def segment_starts(s: SparkSession, d: str) -> DataFrame:
+    """Number of steps of each track, and of those of all earlier ones."""
+    n = tables.steps(s, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("size"))
+    return n.withColumn("first", F.coalesce(F.sum("size").over(Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+
+
+def overlapping_steps(s: SparkSession, d: str) -> DataFrame:
+    """Steps that break the rule that a track's steps don't overlap."""
+    return val.check_steps(tables.steps(s, d))
+
+
 def _arrays(s: SparkSession, d: str, window: int, default: float, scaled: bool = False) -> DataFrame:
     steps = tables.steps(s, d)
     steps = algebra.scaled(steps, tables.tracks(s, d)) if scaled else steps
@@ -443,6 +454,9 @@ pd AS (SELECT chrom, greatest(start - 50, 0) AS start, "end" + 50 AS "end", valu
 round(sum(value * ("end" - start)), 2) AS sum_values, round(sum(value * value * ("end" - start)) / sum("end" - start), 3) AS sum_squares FROM s GROUP BY track_id""",
         "zoom_summary": f"""WITH {_STEPS}, z AS (SELECT *, unnest(range(start // 10000, ("end" - 1) // 10000 + 1)) AS cell FROM s), y AS (SELECT track_id, chrom, cell, value, least("end", (cell + 1) * 10000) - greatest(start, cell * 10000) AS n FROM z)
 SELECT track_id, chrom, cell, CAST(sum(n) AS BIGINT) AS valid_count, min(value) AS min_value, max(value) AS max_value, round(sum(value * n), 3) AS sum_values, round(sum(value * value * n) / sum(n), 3) AS sum_squares FROM y GROUP BY ALL""",
+        "segment_starts": f"WITH {_STEPS}, z AS (SELECT track_id, count(*) AS size FROM s GROUP BY track_id) SELECT track_id, size, CAST(coalesce(sum(size) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM z",
+        "overlapping_steps": f"""WITH {_STEPS}, u AS (SELECT DISTINCT track_id, chrom, start, "end" FROM s) SELECT DISTINCT b.track_id, b.chrom, b.start, b."end" FROM u a JOIN u b
+ON a.track_id = b.track_id AND a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND (b.start > a.start OR (b.start = a.start AND b."end" > a."end"))""",
         "values_per_base": f"{_windows(1)} SELECT query_id, track_id, list(round(total, 6) ORDER BY bin) AS values FROM c GROUP BY ALL",
         "window_mean_default0": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(0.0)} AS value FROM c",
         "window_mean_default_const": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(2.5)} AS value FROM c",
@@ -484,7 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         track_scan, chrom_include_exclude, standard_chromosomes, threshold_strict, scale_then_threshold, scale_by_path_key, pad_intervals, first_n_tracks, chrom_max_size, chrom_offsets,
         global_position, center_crop, overlap_join, chunk_prune_semi, segmented_searchsorted_left, segmented_searchsorted_right, searchsorted_absolute, merge_gap0, merge_gap_n,
-        merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, values_per_base, window_mean_default0, window_mean_default_const,
+        merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, segment_starts, overlapping_steps, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
         filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,

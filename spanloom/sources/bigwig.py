@@ -6,7 +6,7 @@ and end drop whole files and chunks before they are read, and are left to Spark
 section types, deep trees, both byte orders and uncompressed files are read.
 
 Layout after Kent et al., Bioinformatics 26 (2010). Options: ``path`` (or ``paths``, a JSON list), ``extensions``,
-``crawl``, ``scales`` (JSON, by partial path), ``first_n``, ``partition_bytes``, ``table`` (steps, chunks, chroms, files).
+``crawl``, ``scales`` (JSON, by partial path), ``first_n``, ``partition_bytes``, ``table`` (steps, chunks, chroms, files, zooms for the stored levels, zoom_records for their cells).
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ SCHEMAS = {
     "steps": "track_id int, chrom string, start bigint, end bigint, value float",
     "chunks": "track_id int, chrom string, start bigint, end bigint, data_offset bigint, data_size bigint",
     "chroms": "track_id int, chrom string, chrom_id int, chrom_size bigint",
+    "zooms": "track_id int, level bigint, data_offset bigint, index_offset bigint",
+    "zoom_records": "track_id int, level bigint, chrom string, start bigint, end bigint, valid_count bigint, min_value double, max_value double, sum_values double, sum_squares double",
     "files": "track_id int, path string, version int, zoom_levels int, bases_covered bigint, min_value double, max_value double, sum_values double, sum_squares double",
 }
 
@@ -146,6 +148,11 @@ class Chunks(InputPartition):
     chunks: list[tuple[int, int]]
 
 
+@dataclass
+class ZoomChunks(Chunks):
+    level: int
+
+
 @dataclass
 class Rows(InputPartition):
     rows: list[tuple]
@@ -190,6 +197,15 @@ class BigWigReader(DataSourceReader):
                 continue
             with open(path, "rb") as f:
                 h = read_header(f)
+                if self.table == "zooms":
+                    rows += [(track, z["level"], z["data"], z["index"]) for z in read_zooms(f, h)]
+                    continue
+                if self.table == "zoom_records":
+                    chroms = read_chroms(f, h)
+                    for z in read_zooms(f, h):
+                        chunks = [(c[4], c[5]) for c in read_chunks(f, h, z["index"]) if self._wanted(c, chroms)]
+                        parts.append(ZoomChunks(track, path, h.order, h.buffer > 0, {k: n for k, (n, _) in chroms.items()}, 1.0, chunks, z["level"]))
+                    continue
                 if self.table == "files":
                     rows.append((track, path, h.version, h.zooms, *(read_summary(f, h) or (None,) * 5)))
                     continue
@@ -210,7 +226,7 @@ class BigWigReader(DataSourceReader):
                     run = []
             if run:
                 parts.append(Chunks(track, path, h.order, h.buffer > 0, names, scale, run))
-        return [Rows(rows)] if self.table != "steps" else parts or [Rows([])]
+        return [Rows(rows)] if self.table not in ("steps", "zoom_records") else parts or [Rows([])]
 
     def _wanted(self, chunk: tuple, chroms: dict[int, tuple[str, int]]) -> bool:
         first, start, last, end, _, _ = chunk
@@ -223,6 +239,9 @@ class BigWigReader(DataSourceReader):
             yield from partition.rows
             return
         assert isinstance(partition, Chunks)
+        if isinstance(partition, ZoomChunks):
+            yield from self._zoom_rows(partition)
+            return
         kinds = pa.schema([("track_id", pa.int32()), ("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float32())])
         with open(partition.path, "rb") as f:
             for offset, size in partition.chunks:
@@ -236,6 +255,17 @@ class BigWigReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition.track, np.int32)), name, pa.array(starts), pa.array(ends), pa.array(values)], schema=kinds)
 
 
+    def _zoom_rows(self, partition: ZoomChunks) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            for offset, size in partition.chunks:
+                f.seek(offset)
+                raw = f.read(size)
+                for chrom, start, end, n, low, high, total, squares in struct.iter_unpack(partition.order + "IIIIffff", zlib.decompress(raw) if partition.packed else raw):
+                    if low > high or start > end:
+                        raise ValueError(f"a zoom record of {partition.path} is out of order")
+                    yield partition.track, partition.level, partition.names[chrom], start, end, n, low, high, total, squares
+
+
 class BigWigSource(DataSource):
     """Steps of signal files; ``option("table", ...)`` gives their chunks, chromosomes or headers instead."""
 

@@ -18,14 +18,19 @@ FAN_OUT = 256
 
 
 class Writer:
-    """One file. Steps come in order of chromosome number and start; only the index is kept in memory."""
+    """One file. Steps come in order of chromosome number and start; only the index and zoom cells are kept in memory.
 
-    def __init__(self, path: str, chroms: dict[str, int], rows_per_section: int = 1024, packed: bool = True, kind: int = 1):
-        self.path, self.packed, self.rows, self.kind = path, packed, rows_per_section, kind
+    ``zooms`` are the reduction levels, in bases, for which summaries are stored.
+    """
+
+    def __init__(self, path: str, chroms: dict[str, int], rows_per_section: int = 1024, packed: bool = True, kind: int = 1, zooms: tuple[int, ...] = ()):
+        self.path, self.packed, self.rows, self.kind, self.zooms = path, packed, rows_per_section, kind, zooms
+        self.cells: dict[int, dict[tuple[int, int], list[float]]] = {level: {} for level in zooms}
         self.names = sorted(chroms)
         self.ids = {n: i for i, n in enumerate(self.names)}
         self.f = open(path, "wb")
-        self.f.write(b"\0" * 104)
+        self.summary_at = 64 + 24 * len(zooms)
+        self.f.write(b"\0" * (self.summary_at + 40))
         self.tree_at = self.f.tell()
         self._tree(chroms)
         self.data_at = self.f.tell()
@@ -73,48 +78,61 @@ class Writer:
             n, x = (e - s).astype(float), v.astype(float)
             self.total += [n.sum(), 0, 0, (n * x).sum(), (n * x * x).sum()]
             self.total[1], self.total[2] = min(self.total[1], x.min()), max(self.total[2], x.max())
-
-    def close(self) -> None:
-        """Write the index and the headers."""
+            for level, cells in self.cells.items():
+                for a, b, y in zip(s.tolist(), e.tolist(), x.tolist()):
+                    for cell in range(a // level, (b - 1) // level + 1):
+                        k = min(b, (cell + 1) * level) - max(a, cell * level)
+                        got = cells.setdefault((self.ids[chrom], cell), [0, y, y, 0.0, 0.0])
+                        got[:] = got[0] + k, min(got[1], y), max(got[2], y), got[3] + k * y, got[4] + k * y * y
+
+    def _index(self, leaves: list[tuple[int, int, int, int, int, int]]) -> int:
+        """Write an index over the leaves; returns where it starts."""
         index_at = self.f.tell()
-        nodes = [self.leaves[i : i + FAN_OUT] for i in range(0, len(self.leaves), FAN_OUT)] or [[]]
-        tree: list[list[list]] = [nodes]
+        tree: list[list[list]] = [[leaves[i : i + FAN_OUT] for i in range(0, len(leaves), FAN_OUT)] or [[]]]
         while len(tree[-1]) > 1:
-            below = tree[-1]
-            extents = [(g[0][0], g[0][1], g[-1][2], max(x[3] for x in g)) for g in below]
+            extents = [(g[0][0], g[0][1], g[-1][2], max(x[3] for x in g)) for g in tree[-1]]
             tree.append([extents[i : i + FAN_OUT] for i in range(0, len(extents), FAN_OUT)])
-        first, last = (self.leaves[0], self.leaves[-1]) if self.leaves else ((0,) * 6, (0,) * 6)
-        self.f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, FAN_OUT, len(self.leaves), first[0], first[1], last[2], last[3], index_at, self.rows, 0))
+        first, last = (leaves[0], leaves[-1]) if leaves else ((0,) * 6, (0,) * 6)
+        self.f.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, FAN_OUT, len(leaves), first[0], first[1], last[2], last[3], index_at, self.rows, 0))
         at = self.f.tell()
         for depth in range(len(tree) - 1, -1, -1):
-            level = tree[depth]
             leaf = depth == 0
-            here = sum(4 + len(g) * (32 if leaf else 24) for g in level)
-            child = at + here
-            for g in level:
+            at += sum(4 + len(g) * (32 if leaf else 24) for g in tree[depth])
+            children = iter(tree[depth - 1]) if depth else None
+            child = at
+            for g in tree[depth]:
                 self.f.write(struct.pack("<BBH", leaf, 0, len(g)))
                 for item in g:
-                    if leaf:
-                        self.f.write(struct.pack("<IIIIQQ", *item))
-                    else:
-                        self.f.write(struct.pack("<IIIIQ", *item, child))
-                        n = len(tree[depth - 1][self._seen(depth)])
-                        child += 4 + n * (32 if depth == 1 else 24)
-            at += here
-        self.f.seek(0)
-        self.f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, self.tree_at, self.data_at, index_at, 0, 0, 0, 64, self.largest if self.packed else 0, 0))
+                    self.f.write(struct.pack("<IIIIQQ", *item) if leaf else struct.pack("<IIIIQ", *item, child))
+                    if children:
+                        child += 4 + len(next(children)) * (32 if depth == 1 else 24)
+        return index_at
+
+    def _zoom(self, level: int) -> tuple[int, int]:
+        """Write the cells of one level and their index; returns where both start."""
+        data_at, rows, leaves = self.f.tell(), sorted(self.cells[level].items()), []
+        self.f.write(struct.pack("<I", len(rows)))
+        for i in range(0, len(rows), self.rows):
+            part = rows[i : i + self.rows]
+            raw = b"".join(struct.pack("<IIIIffff", c, cell * level, (cell + 1) * level, *got) for (c, cell), got in part)
+            self.largest = max(self.largest, len(raw))
+            out = zlib.compress(raw) if self.packed else raw
+            leaves.append((part[0][0][0], part[0][0][1] * level, part[-1][0][0], (part[-1][0][1] + 1) * level, self.f.tell(), len(out)))
+            self.f.write(out)
+        return data_at, self._index(leaves)
+
+    def close(self) -> None:
+        """Write the indexes and the headers."""
+        index_at = self._index(self.leaves)
+        zooms = [struct.pack("<IIQQ", level, 0, *self._zoom(level)) for level in self.zooms]
         t = self.total if self.leaves else np.zeros(5)
-        self.f.seek(64)
-        self.f.write(struct.pack("<Q4d", int(t[0]), *t[1:]))
+        self.f.seek(0)
+        self.f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, len(zooms), self.tree_at, self.data_at, index_at, 0, 0, 0, self.summary_at, self.largest if self.packed else 0, 0))
+        self.f.write(b"".join(zooms) + struct.pack("<Q4d", int(t[0]), *t[1:]))
         self.f.seek(self.data_at)
         self.f.write(struct.pack("<Q", len(self.leaves)))
         self.f.close()
 
-    def _seen(self, depth: int) -> int:
-        counts = self.__dict__.setdefault("_counts", {})
-        counts[depth] = counts.get(depth, -1) + 1
-        return counts[depth]
-
 
 def write_tracks(steps: DataFrame, chrom_sizes: dict[str, int], folder: str, rows_per_section: int = 1024) -> DataFrame:
     """Write ``<folder>/track_<id>.bw`` for every track; returns ``(track_id, path, n_steps)`` when acted on.

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spanloom.collection import TrackCollection
+from spanloom.operators.algebra import zoomed
 from spanloom.sources import bigwig, fasta, paths
 from spanloom.sources.bigwig_writer import Writer, write_tracks
 
@@ -11,9 +12,9 @@ SIZES = {"chr1": 100_000, "chr2": 50_000, "chrX": 7_000}
 STEP = "track_id int, chrom string, start long, end long, value float"
 
 
-def made(path, seed, packed=True, kind=1, sizes=SIZES, section=16):
+def made(path, seed, packed=True, kind=1, sizes=SIZES, section=16, zooms=()):
     rnd = random.Random(seed)
-    w = Writer(str(path), sizes, section, packed, kind)
+    w = Writer(str(path), sizes, section, packed, kind, zooms)
     out = []
     for c in w.names:
         at, s, e = rnd.randrange(50), [], []
@@ -70,6 +71,19 @@ def test_tables_of_a_file(spark, tmp_path):
         load("nonsense").count()
 
 
+def test_stored_zooms_equal_derived_ones(spark, tmp_path):
+    bigwig.register(spark)
+    made(tmp_path / "a.bw", 5, zooms=(500, 4000))
+    load = lambda t: spark.read.format("bigwig").option("table", t).load(str(tmp_path))
+    assert sorted(r.level for r in load("zooms").collect()) == [500, 4000]
+    for level in (500, 4000):
+        stored = {(r.chrom, r.start // level): r for r in load("zoom_records").where(f"level = {level}").collect()}
+        derived = {(r.chrom, r.cell): r for r in zoomed(load("steps"), level).collect()}
+        assert set(stored) == set(derived)
+        for k, r in derived.items():
+            np.testing.assert_allclose([stored[k][c] for c in ("valid_count", "min_value", "max_value", "sum_values", "sum_squares")], [r[c] for c in ("valid_count", "min_value", "max_value", "sum_values", "sum_squares")], rtol=1e-5, atol=1e-3)
+
+
 def test_not_a_bigwig(tmp_path):
     (tmp_path / "a.bw").write_bytes(b"nothing at all")
     with pytest.raises(ValueError):
