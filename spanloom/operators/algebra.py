@@ -101,8 +101,9 @@ def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = B
 
     listed = cut.groupBy("__hchrom", "__hbin").agg(F.array_sort(F.collect_list(F.struct("__hs", "__he"))).alias("__all"))
     short = rows.where(F.col("__bin") == F.col("__last")).join(listed, same, "left")
-    own = F.filter(F.coalesce("__all", F.array().cast(listed.schema["__all"].dataType)), lambda h: (h["__hs"] < F.col("end")) & (h["__he"] > F.col("start")))
-    short = short.withColumn("__holes", own).withColumn("__n", F.lit(1).cast("bigint")).select(*columns, "__n", "__holes")
+    none = F.array().cast(listed.schema["__all"].dataType)
+    own = F.when(F.col("__all").isNull(), none).otherwise(F.filter("__all", lambda h: (h["__hs"] < F.col("end")) & (h["__he"] > F.col("start"))))
+    short = short.withColumn("__holes", own).select(*columns, "__holes")
 
     long = rows.where(F.col("__bin") < F.col("__last")).groupBy(*columns, "__bin", "__last").agg(F.count(F.lit(1)).alias("__n"))
     long = long.withColumn("__bin", F.explode(F.sequence("__bin", "__last")))
@@ -111,12 +112,16 @@ def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = B
     hole = F.when(F.col("__hs").isNotNull(), F.struct("__hs", "__he"))
     long = hit.groupBy(*columns).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(hole)).alias("__holes"))
 
-    starts = F.concat(F.array("start"), F.transform("__holes", lambda h: h["__he"]))
-    ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array("end"))
-    pieces = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] < p["e"])
-    copies = F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("__n")), lambda _: pieces))
-    cut_up = short.unionByName(long).withColumn("__piece", F.explode_outer(copies)).where(F.col("__piece").isNotNull())
-    return cut_up.withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
+    def pieces(rows: DataFrame) -> DataFrame:
+        """What is left of each row; a row without holes is kept as it is, which spares it the work on arrays."""
+        starts = F.concat(F.array("start"), F.transform("__holes", lambda h: h["__he"]))
+        ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array("end"))
+        left = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] < p["e"])
+        whole = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
+        return rows.withColumn("__piece", F.explode_outer(F.when(F.size("__holes") == 0, whole).otherwise(left))).where(F.col("__piece").isNotNull())
+
+    long = pieces(long).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).drop("__copy", "__n")
+    return pieces(short).unionByName(long).withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
 
 
 def intervals(

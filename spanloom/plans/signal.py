@@ -273,7 +273,7 @@ def sequence_slice(s: SparkSession, d: str) -> DataFrame:
     """Windows of texts read as sequences stored in chunks."""
     seqs = tables.sequences(s, d)
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE).cast("int")), lambda i: F.substring("sequence", i * PIECE + 1, F.lit(PIECE)))
-    genome = seqs.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode(pieces).alias("chunk", "letters"))
+    genome = seqs.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode_outer(pieces).alias("chunk", "letters"))
     first = F.pmod(F.col("doc_id") * 37, F.lit(1500))
     ranges = seqs.select(F.col("doc_id").cast("string").alias("chrom"), first.alias("start"), (first + SEQUENCE).alias("end"))
     return sequence.slices(ranges, genome, PIECE)
@@ -325,7 +325,7 @@ def fasta_scan(s: SparkSession, d: str) -> DataFrame:
     fasta.register(s)
     folder = new_folder(s, "sequences")
     fasta.write_sequences(tables.sequences(s, d).select(F.col("doc_id").cast("string").alias("chrom"), "sequence"), folder).collect()
-    return s.read.format("fasta").option("chunk_size", PIECE).load(folder)
+    return s.read.format("fasta").option("chunk_size", PIECE).option("partition_chunks", 8192).load(folder)
 
 
 def stream_query_batches(s: SparkSession, d: str) -> DataFrame:

@@ -36,11 +36,9 @@ class Entry:
 
 
 @dataclass
-class Stretch(InputPartition):
-    path: str
-    entry: Entry
-    first: int
-    last: int
+class Stretches(InputPartition):
+    #: path, sequence, first chunk and the one behind the last
+    parts: list[tuple[str, Entry, int, int]]
 
 
 def index(path: str) -> list[Entry]:
@@ -83,25 +81,34 @@ class FastaReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        parts: list[InputPartition] = []
+        """Runs of chunks; short sequences share a partition, long ones are split over several."""
+        done: list[InputPartition] = []
+        parts: list[tuple[str, Entry, int, int]] = []
+        room = self.per_partition
         for path in self.paths:
             for e in index(path):
-                if self.names is None or e.name in self.names:
-                    n = -(-e.length // self.chunk)
-                    parts += [Stretch(path, e, i, min(i + self.per_partition, n)) for i in range(0, n, self.per_partition)]
-        return parts or [Stretch("", Entry("", 0, 0, 1, 1), 0, 0)]
+                if self.names is not None and e.name not in self.names:
+                    continue
+                at, n = 0, -(-e.length // self.chunk)
+                while at < n:
+                    upto = min(at + room, n)
+                    parts.append((path, e, at, upto))
+                    room -= upto - at
+                    at = upto
+                    if not room:
+                        done.append(Stretches(parts))
+                        parts, room = [], self.per_partition
+        return [*done, Stretches(parts)] if parts or not done else done
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        assert isinstance(partition, Stretch)
-        e = partition.entry
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            for n in range(partition.first, partition.last):
-                lo, hi = n * self.chunk, min((n + 1) * self.chunk, e.length)
-                start, end = (e.offset + p // e.line * e.width + p % e.line for p in (lo, hi))
-                f.seek(start)
-                yield e.name, n, f.read(end - start).translate(None, b"\r\n").decode("ascii")
+        assert isinstance(partition, Stretches)
+        for path, e, first, last in partition.parts:
+            with open(path, "rb") as f:
+                for n in range(first, last):
+                    lo, hi = n * self.chunk, min((n + 1) * self.chunk, e.length)
+                    start, end = (e.offset + p // e.line * e.width + p % e.line for p in (lo, hi))
+                    f.seek(start)
+                    yield e.name, n, f.read(end - start).translate(None, b"\r\n").decode("ascii")
 
 
 def write_sequences(df: DataFrame, folder: str, width: int = 60) -> DataFrame:
