@@ -9,6 +9,7 @@ from spanloom.operators.overlap import locate
 
 # Fixed values of a linear congruential step, applied twice.
 FACTOR, STEP, MODULUS = 1103515245, 12345, 1 << 31
+SECOND = 1_000_003
 
 
 def mixed(number: Column, seed: int = 0) -> Column:
@@ -18,10 +19,9 @@ def mixed(number: Column, seed: int = 0) -> Column:
     return F.pmod(F.floor(twice / 4096) + F.pmod(twice, F.lit(4096)) * 524288, F.lit(MODULUS))
 
 
-def uniform(number: Column, total: Column | int, seed: int = 0) -> Column:
-    """A pseudorandom integer in [0, total), from two mixed numbers, for totals up to 2^31."""
-    total = F.lit(total) if isinstance(total, int) else total
-    return F.pmod(mixed(number, seed), total)
+def uniform(number: Column, total: Column, seed: int = 0) -> Column:
+    """A pseudorandom integer in [0, total), from 62 random bits, so a total may exceed the length of any genome."""
+    return F.pmod(mixed(number, seed) * MODULUS + mixed(number + SECOND, seed + 1), total)
 
 
 def cumulative_index(regions: DataFrame) -> DataFrame:

@@ -409,7 +409,7 @@ def _mixed(x: str, seed: int) -> str:
 
 _CUM = f"""{_REGIONS}, ci AS (SELECT chrom, start, "end", CAST(coalesce(sum("end" - start) OVER (ORDER BY chrom, start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum_start FROM r),
 cx AS (SELECT *, cum_start + "end" - start AS cum_end FROM ci)"""
-_DRAWN = f"""{_CUM}, dr AS (SELECT i AS draw, {_mixed("i", 3)} % (SELECT max(cum_end) FROM cx) AS rr FROM range({DRAWS}) t(i)),
+_DRAWN = f"""{_CUM}, dr AS (SELECT i AS draw, ({_mixed("i", 3)} * {sample.MODULUS} + {_mixed(f"i + {sample.SECOND}", 4)}) % (SELECT max(cum_end) FROM cx) AS rr FROM range({DRAWS}) t(i)),
 dp AS (SELECT draw, chrom, start + rr - cum_start AS center FROM dr JOIN cx ON rr >= cum_start AND rr < cum_end)"""
 _PICK = f"(SELECT list(t ORDER BY t) FROM (SELECT track_id AS t FROM tracks ORDER BY {_mixed('track_id * 7919 + b.batch_id * 104729', 5)}, track_id LIMIT 3))"
 

@@ -16,6 +16,12 @@ def test_positions_cover_all_regions_evenly(spark):
     assert sum(hits) == 4000 and all(abs(h / 4000 - (e - s) / 41) < 0.03 for h, (_, s, e) in zip(hits, REGIONS)) and hits[2] > 0
 
 
+def test_regions_longer_than_31_bits(spark):
+    long = spark.createDataFrame([(f"chr{i}", 0, 1 << 32) for i in range(4)], "chrom string, start long, end long")
+    got = sample.positions(spark, long, 400, 1).collect()
+    assert {r.chrom for r in got} == {f"chr{i}" for i in range(4)} and max(r.center for r in got) > 3 << 30
+
+
 def test_same_seed_same_draw(spark, rows):
     a, b, c = (rows(sample.positions(spark, regions(spark), 50, seed)) for seed in (1, 1, 2))
     assert a == b != c

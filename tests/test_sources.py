@@ -162,7 +162,7 @@ EXPECTED = {
 
 
 def test_values_for_paths(spark):
-    full = {f"/home/jim/bigwig_files/{k}.bigWig": v for k, v in EXPECTED.items()}
+    full = {f"/data/set/{k}.bigWig": v for k, v in EXPECTED.items()}
     for path, value in full.items():
         assert paths.value_for_path(path, KEYS) == value
     tracks = spark.createDataFrame(list(enumerate(full)), "track_id int, path string")
