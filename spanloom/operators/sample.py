@@ -44,11 +44,14 @@ def epoch_batches(regions: DataFrame, sequence_length: int, batch_size: int) ->
     return regions.agg(total.alias("total_length")).withColumn("batches", F.floor(F.floor(F.col("total_length") / sequence_length) / batch_size))
 
 
-def positions(spark: SparkSession, regions: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``(draw, chrom, center)``: ``n`` positions, each base of the regions equally likely, the same for the same seed."""
+def positions(spark: SparkSession, regions: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFrame:
+    """``(draw, chrom, center)``: ``n`` positions, each base of the regions equally likely, the same for the same seed.
+
+    Draws are numbered from ``first``, so a later range of numbers goes on where an earlier one ended.
+    """
     index = cumulative_index(regions).select("chrom", "start", "cum_start", "cum_end")
     total = index.agg(F.max("cum_end").alias("t")).scalar()
-    draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), total, seed).alias("r")).where("r is not null")
+    draws = spark.range(first, first + n).select(F.col("id").alias("draw"), uniform(F.col("id"), total, seed).alias("r")).where("r is not null")
     width = 1 << 16
     return locate(draws, index, "r", "cum_start", "cum_end", width).select("draw", "chrom", (F.col("start") + F.col("r") - F.col("cum_start")).alias("center"))
 

@@ -21,9 +21,12 @@ from spanloom.sources import bigwig, fasta
 from spanloom.sources.bigwig_writer import write_tracks
 from spanloom.sources.paths import tracks_with_scale
 from spanloom.streaming import queries as stream
+from spanloom.training import training_table
 
 KEYS = [("liver", 2.0), ("old/liver", 3.0), ("TRK700013", 7.0), ("kidney/accx", 5.0), ("Nerve", 4.0), ("signal", 1.5), ("colon/TRK700143.bigWig", 9.0)]
 WINDOW, BATCH, DRAWS, SEQUENCE, PIECE = 128, 256, 5000, 400, 256
+# The invented genome: chunks of repeated units, half of them soft-masked or unknown, so that most sequences are rejected.
+GENOME_CHUNK, UNITS, EPOCH_LENGTH, EPOCH_CROP = 1024, ("ACGT", "GATTACA", "CCGGTTAA", "TGCA", "acgt", "gattaca", "N", "NN"), 1000, 512
 
 
 def _r(c, digits: int = 6):
@@ -311,6 +314,22 @@ def query_batches(s: SparkSession, d: str) -> DataFrame:
     return rows.join(picked, "batch_id").select("batch_id", "query_id", "chrom", "start", "end", "track_ids")
 
 
+def invented_genome(s: SparkSession, d: str, length: int) -> DataFrame:
+    """``(chrom, chunk, letters)`` of the chunks that sequences of ``length`` around the regions' bases touch."""
+    reach = tables.regions(s, d).select("chrom", F.greatest(F.floor((F.col("start") - length) / GENOME_CHUNK), F.lit(0)).alias("a"), F.floor((F.col("end") + length) / GENOME_CHUNK).alias("b"))
+    chunks = reach.select("chrom", F.explode(F.sequence("a", "b")).alias("chunk")).distinct().join(table(s, d, "chroms").select("chrom", "chrom_rank", "chrom_size"), "chrom")
+    unit = F.element_at(F.array(*[F.lit(u * GENOME_CHUNK) for u in UNITS]), (F.pmod(sample.mixed(F.col("chrom_rank") * 1_000_003 + F.col("chunk"), 7), F.lit(len(UNITS))) + 1).cast("int"))
+    n = F.least(F.lit(GENOME_CHUNK), F.col("chrom_size") - F.col("chunk") * GENOME_CHUNK).cast("int")
+    return chunks.where(n > 0).select("chrom", "chunk", F.substring(unit, F.lit(1), n).alias("letters"))
+
+
+def training_epoch(s: SparkSession, d: str) -> DataFrame:
+    """A whole epoch of the training pipeline: positions, sequences, tracks of each batch and their windowed means, flattened."""
+    parts = _collection(s, d), tables.regions(s, d), invented_genome(s, d, EPOCH_LENGTH)
+    rows = training_table(*parts, GENOME_CHUNK, EPOCH_LENGTH, EPOCH_CROP, WINDOW, batch_size=BATCH, sequence_encoder=None, sub_sample_tracks=3, seed=3)
+    return rows.withColumn("values", F.transform(F.flatten("values"), lambda x: F.round(x.cast("double"), 3)))
+
+
 def bigwig_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Steps written to one file per track and read again."""
     bigwig.register(s)
@@ -414,6 +433,28 @@ dp AS (SELECT draw, chrom, start + rr - cum_start AS center FROM dr JOIN cx ON r
 _PICK = f"(SELECT list(t ORDER BY t) FROM (SELECT track_id AS t FROM tracks ORDER BY {_mixed('track_id * 7919 + b.batch_id * 104729', 5)}, track_id LIMIT 3))"
 
 
+def _chunk(at: str) -> str:
+    kinds = ", ".join(f"'{u}'" for u in UNITS)
+    return f"substr(repeat([{kinds}][CAST({_mixed(f'chrom_rank * 1000003 + {at}', 7)} % {len(UNITS)} + 1 AS INTEGER)], {GENOME_CHUNK}), 1, greatest(least({GENOME_CHUNK}, chrom_size - ({at}) * {GENOME_CHUNK}), 0))"
+
+
+def _training_epoch() -> str:
+    """Draws 64 numbers for each sequence needed, far more than are rejected; takes the first that can be used."""
+    half, crop, bins = EPOCH_LENGTH // 2, EPOCH_CROP // 2, EPOCH_CROP // WINDOW
+    pick = f"(SELECT list(t ORDER BY t) FROM (SELECT track_id AS t FROM tracks ORDER BY {_mixed('track_id * 7919 + b.batch_id * 104729', 3)}, track_id LIMIT 3))"
+    return f"""WITH {_STEPS}, {_CUM}, ep AS (SELECT CAST(sum("end" - start) AS BIGINT) // {EPOCH_LENGTH} // {BATCH} * {BATCH} AS need, CAST(sum("end" - start) AS BIGINT) AS total FROM r),
+di AS (SELECT unnest(range(need * 64)) AS i, total FROM ep), dr AS (SELECT i AS draw, ({_mixed("i", 3)} * {sample.MODULUS} + {_mixed(f"i + {sample.SECOND}", 4)}) % total AS rr FROM di),
+dp AS (SELECT draw, cx.chrom, start + rr - cum_start AS center, chrom_rank, chrom_size, start + rr - cum_start - {half} AS a FROM dr JOIN cx ON rr >= cum_start AND rr < cum_end JOIN chroms ON cx.chrom = chroms.chrom),
+ds AS (SELECT draw, chrom, center, substr({_chunk(f"a // {GENOME_CHUNK}")} || {_chunk(f"a // {GENOME_CHUNK} + 1")}, a % {GENOME_CHUNK} + 1, {EPOCH_LENGTH}) AS sequence FROM dp WHERE a >= 0),
+dk AS (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS n FROM ds WHERE length(sequence) = {EPOCH_LENGTH} AND length(regexp_replace(sequence, '[ACGT]', '', 'g')) <= 0.1 * {EPOCH_LENGTH}),
+w AS (SELECT *, n // {BATCH} AS batch_id FROM dk WHERE n < (SELECT need FROM ep)), b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {pick} AS track_ids FROM b),
+qt AS (SELECT w.*, track_ids, unnest(track_ids) AS track_id FROM w JOIN pk ON w.batch_id = pk.batch_id), grid AS (SELECT *, unnest(range({bins})) AS bin FROM qt),
+gb AS (SELECT *, center - {crop} + bin * {WINDOW} AS lo, center - {crop} + (bin + 1) * {WINDOW} AS hi FROM grid),
+hit AS (SELECT draw, gb.track_id, bin, sum(value * (least(hi, s."end") - greatest(lo, s.start))) AS total FROM gb JOIN s ON s.track_id = gb.track_id AND s.chrom = gb.chrom AND s.start < hi AND s."end" > lo GROUP BY ALL)
+SELECT batch_id, gb.draw AS query_id, chrom, center, sequence, track_ids, list(round(CAST(CAST(coalesce(total, 0) / {WINDOW} AS FLOAT) AS DOUBLE), 3) ORDER BY gb.track_id, gb.bin) AS values
+FROM gb LEFT JOIN hit ON gb.draw = hit.draw AND gb.track_id = hit.track_id AND gb.bin = hit.bin GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     merge_out = 'SELECT chrom, start, "end" FROM m'
     path_keys = ", ".join(f"('{k}', {v})" for k, v in KEYS)
@@ -491,6 +532,7 @@ SELECT batch_id, query_id, i // least(5, n) AS slice_id FROM a WHERE i // least(
         "late_queries": "SELECT batch_id, query_id FROM (SELECT *, min(received_at) OVER (PARTITION BY batch_id) AS f FROM stream_queries) WHERE received_at > f + INTERVAL 1 MINUTE",
         "query_batches": f"""WITH {_DRAWN}, w AS (SELECT draw AS query_id, chrom, center - 500 AS start, center + 500 AS "end", draw // {BATCH} AS batch_id FROM dp), b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {_PICK} AS track_ids FROM b)
 SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.batch_id = pk.batch_id""",
+        "training_epoch": _training_epoch(),
     }
 
 
@@ -501,6 +543,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, segment_starts, overlapping_steps, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
-        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
+        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
     ]
     return {f.__name__: f for f in found}

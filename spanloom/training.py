@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.collection import TrackCollection
@@ -13,6 +14,29 @@ from spanloom.functions.sequence import known_enough, slices
 from spanloom.operators import sample
 from spanloom.operators.batch import batched, epoch
 from spanloom.operators.values import smoothed, value_arrays
+from spanloom.session import checkpoint
+
+# So many draws of which none can be used are an error; a further range is at most so many times all earlier ones.
+HOPELESS, GROWTH = 1 << 20, 8
+
+
+def filled(spark: SparkSession, regions: DataFrame, need: int, usable: Callable[[DataFrame], DataFrame], seed: int = 0, oversample: float = 2.0) -> DataFrame:
+    """What ``usable`` keeps of positions drawn over the regions, ``need`` rows or more.
+
+    Draws go on in further ranges of their numbers, sized by the share kept so far, until there are enough; so the
+    first ``need`` rows by ``draw`` are those that drawing one by one would give. Each range is written once. If the
+    regions hold nothing usable, or the generator's numbers are used up, it raises.
+    """
+    kept, drawn, have, more = None, 0, 0, min(math.ceil(need * oversample), sample.MODULUS)
+    while kept is None or have < need:
+        part = checkpoint(usable(sample.positions(spark, regions, more, seed, drawn)))
+        kept = part if kept is None else kept.unionByName(part)
+        drawn, have = drawn + more, have + part.count()
+        if have < need and (drawn >= sample.MODULUS or (not have and (drawn >= HOPELESS or sample.epoch_batches(regions, 1, 1).first()["batches"] == 0))):
+            raise ValueError(f"an epoch needs {need} sequences; of {drawn} positions drawn, {have} have one that is whole and known well enough")
+        wanted = math.ceil((need - have) * drawn / have * 1.05) + 1 if have else GROWTH * drawn
+        more = min(max(wanted, 1), max(GROWTH * drawn, 1), sample.MODULUS - drawn)
+    return kept
 
 
 def training_table(
@@ -23,9 +47,10 @@ def training_table(
 ) -> DataFrame:
     """``(batch_id, query_id, chrom, center, sequence, track_ids, values)``: one epoch; ``values`` lists one array per track.
 
-    Positions are drawn over the regions, ``oversample`` times as many as needed, or given as (chrom, center); those
-    whose sequence is short or has too many unknown bases are left out, the rest is numbered in the order drawn and
-    cut to the epoch. Tracks are drawn per super-batch. The same seed gives the same table.
+    Positions are drawn over the regions, ``oversample`` times as many as needed at first, or given as (chrom, center);
+    those whose sequence is short or has too many unknown bases are left out and more are drawn until the epoch is full,
+    or ``filled`` raises. The rest is numbered in the order drawn and cut to the epoch. Given positions are all there
+    are: if too few can be used, the epoch is short. Tracks are drawn per super-batch. The same seed gives the same table.
     """
     if dtype not in ("float32", "bfloat16"):
         raise ValueError("dtype is float32 or bfloat16")
@@ -35,9 +60,15 @@ def training_table(
     if batches_per_epoch is None:
         batches_per_epoch = int(sample.epoch_batches(regions, sequence_length, batch_size).first()["batches"])
     need = batches_per_epoch * batch_size
-    drawn = sample.positions(spark, regions, int(need * oversample), seed) if positions is None else positions.select("*", F.monotonically_increasing_id().alias("draw")) if "draw" not in positions.columns else positions
-    ranged = drawn.select("draw", "chrom", "center").withColumn("start", F.col("center") - sequence_length // 2).withColumn("end", F.col("start") + sequence_length).where("start >= 0")
-    kept = known_enough(slices(ranged, genome, chunk_size), sequence_length, maximum_unknown_bases_fraction)
+
+    def usable(drawn: DataFrame) -> DataFrame:
+        ranged = drawn.select("draw", "chrom", "center").withColumn("start", F.col("center") - sequence_length // 2).withColumn("end", F.col("start") + sequence_length).where("start >= 0")
+        return known_enough(slices(ranged, genome, chunk_size), sequence_length, maximum_unknown_bases_fraction)
+
+    if positions is None:
+        kept = filled(spark, regions, need, usable, seed, oversample)
+    else:
+        kept = usable(positions if "draw" in positions.columns else positions.select("*", F.monotonically_increasing_id().alias("draw")))
     rows = epoch(batched(kept.withColumnRenamed("draw", "query_id"), batch_size), batches_per_epoch)
     rows = rows.withColumn("super_id", F.floor(F.col("batch_id") * batch_size / super_size))
     if track_subsets is None and sub_sample_tracks:

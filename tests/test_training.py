@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom import export
 from spanloom.collection import TrackCollection
@@ -52,6 +53,27 @@ def test_given_positions(spark, parts):
     assert sorted(r.center for r in table.collect()) == [300, 500]
 
 
+def test_epoch_is_full_though_most_draws_are_rejected(spark, parts):
+    collection, regions, _ = parts
+    letters = ("acgt" * 500)[:1500] + ("ACGT" * 500)[:300] + "N" * 200  # under a seventh of the positions can be used
+    genome = spark.createDataFrame([("chr1", i, letters[i * CHUNK : (i + 1) * CHUNK]) for i in range(len(letters) // CHUNK)], "chrom string, chunk int, letters string")
+    asked = dict(sequence_length=100, batch_size=8, batches_per_epoch=4, sequence_encoder=None, window_size=100, seed=2)
+    got = training_table(collection, regions, genome, CHUNK, **asked).collect()
+    assert sorted(r.batch_id for r in got) == [i // 8 for i in range(32)]
+    assert all(sum(c in "ACGT" for c in r.sequence) >= 90 for r in got)
+    wide = training_table(collection, regions, genome, CHUNK, oversample=40.0, **asked).collect()
+    assert sorted((r.batch_id, r.query_id, r.center) for r in got) == sorted((r.batch_id, r.query_id, r.center) for r in wide)
+
+
+def test_epoch_that_nothing_can_fill_raises(spark, parts, monkeypatch):
+    collection, regions, genome = parts
+    monkeypatch.setattr("spanloom.training.HOPELESS", 1000)
+    with pytest.raises(ValueError, match="epoch needs 4"):
+        training_table(collection, regions, genome.withColumn("letters", F.lower("letters")), CHUNK, sequence_length=100, batch_size=4, batches_per_epoch=1)
+    with pytest.raises(ValueError, match="epoch needs 4"):
+        training_table(collection, regions.limit(0), genome, CHUNK, sequence_length=100, batch_size=4, batches_per_epoch=1)
+
+
 def test_tsv(spark, rows, parts, tmp_path):
     export.write_tsv(parts[1], str(tmp_path / "r"))
     assert rows(export.read_tsv(spark, str(tmp_path / "r"), "chrom string, start long, end long")) == rows(parts[1])
