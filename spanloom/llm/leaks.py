@@ -7,6 +7,11 @@ block names the patterns that end so, and their skeletons and then their words a
 passage has moves the window behind itself. Search works on skeletons, which damaged characters don't change, so
 nothing is missed; the comparison of ``spoken.fine`` forms then rejects chance matches.
 
+A hidden character that stands alone may be a word of one accented letter or punctuation. The search above leaves it
+out. Then each run of them is tried as a word as well: wherever a passage has such a word between the same neighbours,
+the stretch is followed to both sides, each further hidden character being left out or taken, until it has ``WORDS``
+words or ends.
+
 The corpus isn't shuffled: each task scans its documents against the table. The table is a broadcast of bounded
 size: passages are taken in blocks of at most ``BLOCK_CHARS`` characters, one scan of the corpus per block.
 
@@ -29,6 +34,7 @@ from spanloom.llm import spoken
 WORDS = 12
 BLOCK = 3
 BLOCK_CHARS = 8_000_000
+HIDDEN = -2
 
 
 class Searcher:
@@ -40,9 +46,12 @@ class Searcher:
         self.words, self.block = words, block
         self.ids: dict[str, int] = {}
         self.passages: list[tuple[int, list[str], list[int]]] = []
+        self.hidable: list[list[bool]] = []
         for item, text in passages:
-            fine = [f for f in (spoken.fine[w] for w in (text or "").split()) if f]
+            known = [w for w in (text or "").split() if spoken.fine[w]]
+            fine = [spoken.fine[w] for w in known]
             self.passages.append((item, fine, [self.ids.setdefault(spoken.skeleton(f), len(self.ids)) for f in fine]))
+            self.hidable.append([spoken.may_be_hidden(w) for w in known])
         self.shift: dict[tuple[int, ...], int] = {}
         self.buckets: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for n, (_, _, code) in enumerate(self.passages):
@@ -52,6 +61,64 @@ class Searcher:
                     self.shift[key] = min(self.shift.get(key, words), words - end)
                 self.buckets.setdefault(tuple(code[at + words - block : at + words]), []).append((n, at))
 
+        # Of a stretch around a word that may be hidden, one side has ``near`` words at least.
+        self.near = min(block, words // 2)
+        self.beside: dict[tuple[int, tuple[int, ...]], list[tuple[int, int]]] = {}
+        for n, (_, _, code) in enumerate(self.passages):
+            may = self.hidable[n]
+            for at in (i for i, h in enumerate(may) if h):
+                for step in (1, -1):
+                    keys: set[tuple[int, ...]] = {()}
+                    for i in range(at + step, at + step * (self.near + 1), step):
+                        keys = {(*k, c) for k in keys for c in ((code[i], HIDDEN) if may[i] else (code[i],))} if 0 <= i < len(code) else set()
+                    for key in keys:
+                        self.beside.setdefault((step, key), []).append((n, at))
+
+    def _sides(self, codes: list[int], at: int, step: int) -> set[tuple[int, ...]]:
+        """The ``near`` codes that may follow ``at`` in a direction, hidden words left out or taken."""
+        open_, done = {()}, set()
+        i = at + step
+        while open_ and 0 <= i < len(codes):
+            longer = {(*k, codes[i]) for k in open_}
+            open_ = open_ | longer if codes[i] == HIDDEN else longer
+            done |= {k for k in open_ if len(k) == self.near}
+            open_ = {k for k in open_ if len(k) < self.near}
+            i += step
+        return done
+
+    def _reach(self, words: list[str], codes: list[int], at: int, which: int, place: int, step: int) -> int:
+        """How many words beyond ``at`` in a direction are those beyond ``place`` in the passage, ``words`` - 1 at most."""
+        _, fine, _ = self.passages[which]
+        may, best, lengths = self.hidable[which], 0, {0}
+        i = at + step
+        while lengths and best < self.words - 1 and 0 <= i < len(codes):
+            longer = set()
+            for n in lengths:
+                j = place + step * (n + 1)
+                if 0 <= j < len(fine) and (may[j] if codes[i] == HIDDEN else codes[i] >= 0 and spoken.alike(spoken.fine[words[i]], fine[j])):
+                    longer.add(n + 1)
+            lengths = lengths | longer if codes[i] == HIDDEN else longer
+            best = max(best, *longer) if longer else best
+            i += step
+        return best
+
+    def _found_hidden(self, words: list[str], codes: list[int], out: set[int]) -> None:
+        """Add the items found where hidden characters that stand alone are words.
+
+        Of a run of them no more than ``words`` can be taken, so longer runs are as good as cut to that.
+        """
+        kept, run = [], 0
+        for i, c in enumerate(codes):
+            run = run + 1 if c == HIDDEN else 0
+            if run <= self.words:
+                kept.append(i)
+        words, codes = [words[i] for i in kept], [codes[i] for i in kept]
+        for at in (i for i, c in enumerate(codes) if c == HIDDEN):
+            for which, place in {p for step in (1, -1) for k in self._sides(codes, at, step) for p in self.beside.get((step, k), ())}:
+                item = self.passages[which][0]
+                if item not in out and 1 + self._reach(words, codes, at, which, place, -1) + self._reach(words, codes, at, which, place, 1) >= self.words:
+                    out.add(item)
+
     def found(self, texts: list[str], code_of: spoken.Memo) -> set[int]:
         """Items of which ``words`` consecutive words are spoken in ``texts``."""
         out: set[int] = set()
@@ -60,6 +127,11 @@ class Searcher:
         if None in codes:
             words = [w for w, c in zip(texts, codes) if c is not None]
             codes = [c for c in codes if c is not None]
+        if HIDDEN in codes:
+            if self.beside:
+                self._found_hidden(words, codes, out)
+            words = [w for w, c in zip(words, codes) if c != HIDDEN]
+            codes = [c for c in codes if c != HIDDEN]
         end, n = m, len(words)
         shift, buckets = self.shift, self.buckets
         while end <= n:
@@ -82,8 +154,8 @@ class Searcher:
         return out
 
     def codes(self) -> spoken.Memo:
-        """Word as written to its skeleton's number: -1 if no passage has it, None if it is no word."""
-        return spoken.Memo(lambda w: None if not (f := spoken.fine[w]) else self.ids.get(spoken.skeleton(f), -1))
+        """Word as written to its skeleton's number: -1 if no passage has it, ``HIDDEN`` if it may be a word all hidden, None if it is no word."""
+        return spoken.Memo(lambda w: self.ids.get(spoken.skeleton(f), -1) if (f := spoken.fine[w]) else HIDDEN if spoken.hides_a_word(w) else None)
 
 
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:

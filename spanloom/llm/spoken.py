@@ -150,6 +150,18 @@ def _fine(word: str) -> str:
 fine = Memo(_fine)
 
 
+def hides_a_word(word: str) -> bool:
+    """Whether nothing is left of a word but one hidden letter, or its two bytes. It may as well be punctuation, so it has no ``fine`` form."""
+    inner = word.strip("\"'.,;:!-#&()[]_/ ­")
+    return 0 < len(inner) < 3 and not inner.strip("?�")
+
+
+def may_be_hidden(word: str) -> bool:
+    """Whether damage to its characters may hide all of a word: its only letter is beyond ASCII."""
+    letters = [c for c in unicodedata.normalize("NFC", word) if c.isalnum()]
+    return len(letters) == 1 and not letters[0].isascii() and fine[word] != ""
+
+
 def skeleton(form: str) -> str:
     """The part of a ``fine`` form that damage leaves as it is."""
     return _DROP.sub("", form)

@@ -81,3 +81,47 @@ def test_shifts_skip_nothing():
         joined = f" {' '.join(text)} "
         expected = {i for i, p in passages if any(f" {' '.join(p.split()[k : k + 5])} " in joined for k in range(12))}
         assert search.found(text, codes) == expected
+
+
+def test_lone_hidden_characters():
+    passage = "le vieux chat dormait tout seul à côté de notre grande maison blanche"
+    search = leaks.Searcher([(1, passage)])
+    codes = search.codes()
+    stretch = " ".join(passage.split()[:12])
+    for damaged in ("?", "\ufffd", "?,", "??"):
+        text = f"voilà donc {stretch.replace(' à ', f' {damaged} ')} rouge puis encore"
+        assert search.found(text.split(), codes) == {1}, damaged
+    for first, last in ((0, 12), (1, 13)):  # at the side of other hidden ones that are punctuation
+        part = " ".join(passage.split()[first:last]).replace(" à ", " ? ? ").replace("chat", "chat ?").replace("notre", "? notre")
+        assert search.found(f"donc ? {part} ? puis".split(), codes) == {1}
+    assert search.found(stretch.replace("seul", "seul ?").split(), codes) == {1}
+    assert search.found(stretch.replace(" à ", " ").split(), codes) == set()
+    assert search.found(stretch.replace(" à ", " ? ").replace("de", "?").split(), codes) == set()
+    assert search.found(["?"] * 50_000, codes) == set()
+
+
+def test_lone_hidden_characters_equal_brute_force():
+    rnd, size = random.Random(12), 5
+    vocabulary = ["dor", "mil", "à", "é", "la"]
+
+    def match(doc, want):  # all ways to leave hidden ones out or take them
+        if not want:
+            return True
+        if not doc:
+            return False
+        if doc[0] == "?":
+            return match(doc[1:], want) or (want[0] in "àé" and match(doc[1:], want[1:]))
+        return doc[0] == want[0] and match(doc[1:], want[1:])
+
+    passages = [(i, [rnd.choice(vocabulary) for _ in range(8)]) for i in range(12)]
+    search = leaks.Searcher([(i, " ".join(p)) for i, p in passages], words=size)
+    # à and é are one word to the search, as are o and e
+    passages = [(i, ["à" if w == "é" and spoken.alike(spoken.fine["à"], spoken.fine["é"]) else w for w in p]) for i, p in passages]
+    codes, hits = search.codes(), 0
+    for _ in range(300):
+        doc = [rnd.choice([*vocabulary, "?", "?"]) for _ in range(20)]
+        same = ["à" if w == "é" and spoken.alike(spoken.fine["à"], spoken.fine["é"]) else w for w in doc]
+        expected = {i for i, p in passages if any(match(same[k:], p[j : j + size]) for k in range(len(doc)) for j in range(len(p) - size + 1))}
+        hits += len(expected)
+        assert search.found(doc, codes) == expected, doc
+    assert hits > 50
