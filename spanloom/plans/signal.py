@@ -306,14 +306,23 @@ def sample_tracks_hash(s: SparkSession, d: str) -> DataFrame:
     return sample.track_subsets(tables.queries(s, d), tables.tracks(s, d), 3, 5)
 
 
-def query_batches(s: SparkSession, d: str) -> DataFrame:
-    """Sampled positions as numbered batches of windows, with the tracks drawn for each batch."""
-    drawn = batch.windows(sample.positions(s, tables.regions(s, d), DRAWS, 3), 1000).withColumnRenamed("draw", "query_id")
+def _query_batches(s: SparkSession, d: str, n: int) -> DataFrame:
+    drawn = batch.windows(sample.positions(s, tables.regions(s, d), n, 3), 1000).withColumnRenamed("draw", "query_id")
     rows = batch.batched(drawn, BATCH)
     picked = sample.track_subsets(rows, tables.tracks(s, d), 3, 5)
     return rows.join(picked, "batch_id").select("batch_id", "query_id", "chrom", "start", "end", "track_ids")
 
 
+def query_batches(s: SparkSession, d: str) -> DataFrame:
+    """Sampled positions as numbered batches of windows, with the tracks drawn for each batch."""
+    return _query_batches(s, d, DRAWS)
+
+
+def query_batches_epoch(s: SparkSession, d: str) -> DataFrame:
+    """The batches of a whole epoch: as many as the regions hold, all of them full."""
+    return _query_batches(s, d, int(epoch_batches(s, d).first()["batches"]) * BATCH)
+
+
 def invented_genome(s: SparkSession, d: str, length: int) -> DataFrame:
     """``(chrom, chunk, letters)`` of the chunks that sequences of ``length`` around the regions' bases touch."""
     reach = tables.regions(s, d).select("chrom", F.greatest(F.floor((F.col("start") - length) / GENOME_CHUNK), F.lit(0)).alias("a"), F.floor((F.col("end") + length) / GENOME_CHUNK).alias("b"))
@@ -531,6 +540,11 @@ SELECT batch_id, query_id, i // least(5, n) AS slice_id FROM a WHERE i // least(
         "stream_query_batches": f"{_windows(WINDOW)} SELECT q.batch_id, c.query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(0.0)} AS value FROM c JOIN stream_queries q ON c.query_id = q.query_id",
         "late_queries": "SELECT batch_id, query_id FROM (SELECT *, min(received_at) OVER (PARTITION BY batch_id) AS f FROM stream_queries) WHERE received_at > f + INTERVAL 1 MINUTE",
         "query_batches": f"""WITH {_DRAWN}, w AS (SELECT draw AS query_id, chrom, center - 500 AS start, center + 500 AS "end", draw // {BATCH} AS batch_id FROM dp), b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {_PICK} AS track_ids FROM b)
+SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.batch_id = pk.batch_id""",
+        "query_batches_epoch": f"""WITH {_CUM}, di AS (SELECT unnest(range(CAST(sum("end" - start) AS BIGINT) // 1000 // {BATCH} * {BATCH})) AS i, CAST(sum("end" - start) AS BIGINT) AS total FROM r),
+dr AS (SELECT i AS draw, ({_mixed("i", 3)} * {sample.MODULUS} + {_mixed(f"i + {sample.SECOND}", 4)}) % total AS rr FROM di),
+w AS (SELECT draw AS query_id, chrom, start + rr - cum_start - 500 AS start, start + rr - cum_start + 500 AS "end", draw // {BATCH} AS batch_id FROM dr JOIN cx ON rr >= cum_start AND rr < cum_end),
+b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {_PICK} AS track_ids FROM b)
 SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.batch_id = pk.batch_id""",
         "training_epoch": _training_epoch(),
     }
@@ -543,6 +557,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, segment_starts, overlapping_steps, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
-        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
+        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, query_batches_epoch, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
     ]
     return {f.__name__: f for f in found}
