@@ -272,14 +272,25 @@ def filter_unknown_bases(s: SparkSession, d: str) -> DataFrame:
     return tables.sequences(s, d).where(sequence.unknown_fraction(F.col("sequence")) <= 0.915).select("doc_id", F.length("sequence").alias("n"))
 
 
+def _chunked(seqs: DataFrame) -> DataFrame:
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE).cast("int")), lambda i: F.substring("sequence", i * PIECE + 1, F.lit(PIECE)))
+    return seqs.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode_outer(pieces).alias("chunk", "letters"))
+
+
 def sequence_slice(s: SparkSession, d: str) -> DataFrame:
     """Windows of texts read as sequences stored in chunks."""
     seqs = tables.sequences(s, d)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / PIECE).cast("int")), lambda i: F.substring("sequence", i * PIECE + 1, F.lit(PIECE)))
-    genome = seqs.select(F.col("doc_id").cast("string").alias("chrom"), F.posexplode_outer(pieces).alias("chunk", "letters"))
     first = F.pmod(F.col("doc_id") * 37, F.lit(1500))
     ranges = seqs.select(F.col("doc_id").cast("string").alias("chrom"), first.alias("start"), (first + SEQUENCE).alias("end"))
-    return sequence.slices(ranges, genome, PIECE)
+    return sequence.slices(ranges, _chunked(seqs), PIECE)
+
+
+def sequence_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts as slices in a row, read as sequences stored in chunks."""
+    seqs = tables.sequences(s, d)
+    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / SEQUENCE))).alias("tile")
+    ranges = seqs.select(F.col("doc_id").cast("string").alias("chrom"), tiles).select("chrom", (F.col("tile") * SEQUENCE).alias("start"), ((F.col("tile") + 1) * SEQUENCE).alias("end"))
+    return sequence.slices(ranges, _chunked(seqs), PIECE)
 
 
 def onehot_iupac(s: SparkSession, d: str) -> DataFrame:
@@ -546,6 +557,8 @@ dr AS (SELECT i AS draw, ({_mixed("i", 3)} * {sample.MODULUS} + {_mixed(f"i + {s
 w AS (SELECT draw AS query_id, chrom, start + rr - cum_start - 500 AS start, start + rr - cum_start + 500 AS "end", draw // {BATCH} AS batch_id FROM dr JOIN cx ON rr >= cum_start AND rr < cum_end),
 b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {_PICK} AS track_ids FROM b)
 SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.batch_id = pk.batch_id""",
+        "sequence_tiles": f"""WITH {_SEQ}, k AS (SELECT *, unnest(range((length(sequence) - 1) // {SEQUENCE} + 1)) AS tile FROM q)
+SELECT CAST(doc_id AS VARCHAR) AS chrom, tile * {SEQUENCE} AS start, (tile + 1) * {SEQUENCE} AS "end", substr(sequence, tile * {SEQUENCE} + 1, {SEQUENCE}) AS sequence FROM k""",
         "training_epoch": _training_epoch(),
     }
 
@@ -557,6 +570,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, segment_starts, overlapping_steps, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
-        filter_unknown_bases, sequence_slice, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, query_batches_epoch, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
+        filter_unknown_bases, sequence_slice, sequence_tiles, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, query_batches_epoch, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
     ]
     return {f.__name__: f for f in found}
