@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,23 +60,70 @@ def test_counts(spark):
     assert got == expected
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.integers(0, 30), st.integers(1, 25), st.integers(0, 30), st.integers(1, 25))
-def test_closed_form_is_the_banded_distance(a, n, b, m):
-    left, right = list(range(a, a + n)), list(range(b, b + m))
-    overlap = max(0, min(a + n, b + m) - max(a, b))
-    k = n + m
-    full = c.banded_distance(left, right, k)
-    assert full == n + m - 2 * overlap
-    if overlap:
-        assert full == abs(a - b) + abs(a + n - b - m)
-    for band in (0, 1, 3, 6):
-        assert c.banded_distance(left, right, band) == (full if full <= band else None)
-
-
-def test_banded_distance_on_words():
-    assert c.banded_distance(list("kitten"), list("sitting"), 9) == 5
-    assert c.banded_distance([], list("ab"), 2) == 2 and c.banded_distance([], list("ab"), 1) is None
+@given(st.lists(st.tuples(st.text("ab", max_size=9), st.text("ab", max_size=9)), min_size=1, max_size=8), st.integers(0, 5))
+def test_banded_distances(pairs, k):
+    def matrix(words):
+        out = np.full((len(words), max(map(len, words))), -1)
+        for i, w in enumerate(words):
+            out[i, : len(w)] = [ord(x) for x in w]
+        return out, np.array([len(w) for w in words])
+
+    got = c.banded_distances(*matrix([a for a, _ in pairs]), *matrix([b for _, b in pairs]), k)
+    assert got.tolist() == [min(plain_distance(a, b), k + 1) for a, b in pairs]
+
+
+def damaged(rnd, text, n):
+    for _ in range(n):
+        at = rnd.randrange(len(text) + 1)
+        text = text[:at] + rnd.choice(["", "a", "b", "ab"]) + text[at + rnd.choice([0, 1]) :]
+    return text
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_texts_equal_brute_force(spark, similarity):
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcd") for _ in range(rnd.choice([1, 2, 4, 7, 12, 20, 33, 60]))) for _ in range(60)]
+    train = base + [damaged(rnd, t, rnd.randrange(4)) for t in base] + [None, "", base[0]]
+    held = [damaged(rnd, t, rnd.randrange(1 + len(t) // 4)) for t in base] + base[:9] + [None, ""]
+    found = c.near_texts(*[spark.createDataFrame([(t, 1) for t in x], "text string, n int") for x in (train, held)], similarity)
+    got = sorted((r.train_text, r.held_text, r.edits) for r in found.collect())
+    every = sorted((t, h, plain_distance(t, h)) for t in {t for t in train if t} for h in {h for h in held if h})
+    assert got == [p for p in every if p[2] <= len(p[1]) * (1 - similarity) + 1e-9] and len(got) > 40
+
+
+def test_long_texts_and_no_texts(spark):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    near, far = damaged(rnd, text, 40), damaged(rnd, text, 400)
+    held = spark.createDataFrame([(text,)], "text string")
+    got = c.near_texts(spark.createDataFrame([(near,), (far,)], "text string"), held, 0.9).collect()
+    assert [(r.train_text, r.edits) for r in got] == [(near, plain_distance(near, text))]
+    assert c.near_texts(held.limit(0), held).count() == 0 and c.near_texts(held, held.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        c.near_texts(held, held, 0.5)
+
+
+@pytest.mark.parametrize("scale", [1, 1000, 100_000_007])
+def test_intervals_of_every_size(spark, scale):
+    rnd = random.Random(scale)
+    data = []
+    for i in range(900):
+        length = max(1, int(scale * rnd.choice([1, 2, 3, 5, 8, 13, 40]) * rnd.uniform(0.85, 1.15)))
+        s = int(scale * rnd.choice([0, 100, 200]) + length * rnd.uniform(-0.15, 0.15))
+        data.append((i, rnd.choice("ab"), s, s + length, rnd.choice(["train", "test"]), None, 0))
+    got = sorted((r.train_id, r.held_id) for r in c.row_pairs(spark.createDataFrame(data, SCHEMA)).collect())
+    assert got == brute(data) and len(got) > 300
 
 
 def test_empty_and_share(spark):
