@@ -5,7 +5,7 @@ Vertices are key values, edges link the key values of one record (or are given).
 contraction: each round every vertex tosses a coin, those with heads that have a neighbour with tails collapse into
 one such neighbour, and edges are relabelled and made distinct, until none is left. A round removes about a quarter of
 the vertices that still have edges. The rounds' mappings are then unwound, last first, into one label per vertex.
-Components are given to splits by cumulative weight, heaviest first.
+Components are given to splits by cumulative weight, heaviest first; equal weights in the order of a digest.
 
 Every round is a few SQL joins; its tables are checkpointed in the shared folder, so a lost executor costs a re-read.
 Nothing but a count per round reaches the driver. Null key values link nothing; a record with no key value at all is a
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from spanloom.session import checkpoint
 
 SEED = 7
-PIECES = 256
+#: Rows that one window of a running total may cover; the number of windows grows with the rows.
+PIECE_ROWS = 1 << 16
 MAX_ROUNDS = 200
 
 
@@ -75,19 +76,32 @@ def components(edges: DataFrame, seed: int = SEED) -> DataFrame:
     return vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
-def cumulative(df: DataFrame, order: Sequence[str], weight: str, out: str) -> DataFrame:
+def named_by_least(labels: DataFrame) -> DataFrame:
+    """``(vertex, component)`` with each component named by its least vertex, whatever the coins were.
+
+    The least names are found by partial minima, so a component that holds a third of all vertices is no hot group.
+    """
+    least = labels.groupBy("component").agg(F.min("vertex").alias("__least"))
+    return labels.join(least, "component").select("vertex", F.col("__least").alias("component"))
+
+
+def cumulative(df: DataFrame, order: Sequence[str], weight: str, out: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Add ``out``, the total weight of all earlier rows in a total order, without a window over the whole table.
 
-    Rows are cut into pieces by the quantiles of the first order column and a hash of the second, so each window
-    covers one piece; the pieces' totals, at most ``PIECES`` ** 2 of them, are summed up among themselves.
+    Rows are ordered by the first column, then by the MD5 digest of the second, which is unique. Those of one value of
+    the first are cut by their digest into as many pieces as ``piece_rows`` asks for, so a window covers about that many
+    rows however many share a value; totals of pieces, one row each, are summed up among themselves. The first column
+    has few values.
     """
     first, second = order
-    piece = F.struct(F.col(first).alias("a"), F.pmod(F.xxhash64(F.col(second)), F.lit(PIECES)).alias("b"))
-    df = df.withColumn("__piece", piece)
-    totals = df.groupBy("__piece").agg(F.sum(weight).alias("__w"))
-    before = totals.select("__piece", F.coalesce(F.sum("__w").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("__piece").orderBy(second).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("__in", inside).join(before, "__piece").withColumn(out, F.col("__before") + F.col("__in")).drop("__piece", "__in", "__before")
+    df = df.withColumn("__digest", F.md5(F.col(second).cast("string")))
+    sizes = df.groupBy(first).agg(F.ceil(F.count(F.lit(1)) / piece_rows).alias("__pieces"))
+    at = F.conv(F.substring("__digest", 1, 8), 16, 10).cast("bigint")
+    df = df.join(sizes, first).withColumn("__piece", F.floor(at * F.col("__pieces") / (1 << 32))).drop("__pieces")
+    totals = df.groupBy(first, "__piece").agg(F.sum(weight).alias("__w"))
+    before = totals.select(first, "__piece", F.coalesce(F.sum("__w").over(Window.orderBy(first, "__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(first, "__piece").orderBy("__digest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("__in", inside).join(before, [first, "__piece"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__piece", "__digest", "__in", "__before")
 
 
 def split_components(weights: DataFrame, targets: DataFrame) -> DataFrame:
@@ -95,10 +109,11 @@ def split_components(weights: DataFrame, targets: DataFrame) -> DataFrame:
 
     Splits are filled in falling order of their share. A component goes where the middle of its stretch of the
     cumulative weight lies, so a split misses its share by at most half the weight of the component on its border,
-    which falling order keeps small. Equal weights are ordered by a hash. Weights are rounded down to powers of 1.02
-    for the order, which keeps the number of pieces small. ``targets`` has split_name and target_share; shares are
+    which falling order keeps small. Weights are rounded down to powers of 1.02 for the order, which leaves at most some
+    2,200 different ones; those alike are ordered by a digest. ``weights`` is written once. ``targets`` has split_name and target_share; shares are
     taken relative to their sum, null or non-positive ones left out.
     """
+    weights = checkpoint(weights.select("component", "weight"))
     rank = (-F.floor(F.log(F.greatest(F.col("weight"), F.lit(1)).cast("double")) / F.log(F.lit(1.02)))).cast("int")
     placed = cumulative(weights.withColumn("__rank", rank), ["__rank", "component"], "weight", "__at")
     total = weights.agg(F.sum("weight").alias("__total"))

@@ -22,10 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.blocks import carried, join_on_same
+
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 4096
 SEED = 11
-PIECES = 256
+#: Documents, or shards, that one window of a running total may cover; the number of windows grows with them.
+PIECE_DOCS = 1 << 16
+PIECE_SHARDS = 1 << 12
 FEISTEL_ROUNDS = 4
 
 
@@ -51,15 +55,17 @@ def capacity(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return known.select("source", "target_share", "max_repeats", "n_docs", "n_tokens", "all_tokens", F.coalesce(short, F.lit(False)).alias("short"))
 
 
-def pack(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, piece_docs: int = PIECE_DOCS) -> DataFrame:
     """``(source, block, doc_id, from_token, to_token)``: the parts of documents that make up each block.
 
-    A document's place is the sum of those before it in its (source, hash piece), plus the pieces' totals: no window
-    covers a source. The last block of a source may be shorter.
+    A document's place is the sum of those before it in its (source, hash piece), plus the pieces' totals. A source has
+    as many pieces as keep them at about ``piece_docs`` documents, so no window covers a source. The last block of a
+    source may be shorter.
     """
     key = _key(F.col("source"))
     docs = sizes.where("n_tokens > 0").select(key.alias("key"), "doc_id", "n_tokens").join(_targets(targets).select("key", "source"), "key")
-    docs = docs.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)))
+    pieces = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / piece_docs).alias("pieces"))
+    docs = docs.join(pieces, "source").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).drop("pieces")
     totals = docs.groupBy("source", "piece").agg(F.sum("n_tokens").alias("w"))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source", "piece", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("before"))
@@ -115,8 +121,10 @@ def slots(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
                 yield pd.DataFrame({"shard": int(shard), "source": names, "n": n})
 
     drawn = spark.range(shards).mapInPandas(draw, "shard long, source string, n long")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = drawn.withColumn("first", before).where("n > 0").select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    drawn = drawn.withColumn("piece", F.floor(F.col("shard") / PIECE_SHARDS))
+    inside = F.sum("n").over(Window.partitionBy("source", "piece").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = join_on_same(drawn.withColumn("inside", inside), carried(drawn, ["source"], "piece", F.sum("n"), "before"), ["source", "piece"])
+    rows = drawn.withColumn("first", F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).where("n > 0").select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     of = {r.source: (i, int(blocks[i]), int(blocks[i]) * int(r.max_repeats or 0)) for i, r in enumerate(per_source)}
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,12 +149,44 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
 
 
 def shares(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """Per source: target and reached share of the mixture's tokens, slots drawn and filled, and whether it falls short."""
-    drawn = slots(sizes, targets, block_tokens, shard_slots, seed)
-    known = capacity(sizes, targets)
-    last = F.ceil(F.col("n_tokens") / block_tokens) - 1
-    size = F.when(F.col("block").isNull(), 0).when(F.col("block") == last, F.col("n_tokens") - last * block_tokens).otherwise(F.lit(block_tokens))
-    used = drawn.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).join(known.select("source", "n_tokens"), "source")
-    used = used.groupBy("source").agg(F.sum("n").alias("slots_drawn"), F.sum(F.when(F.col("block").isNotNull(), F.col("n")).otherwise(0)).alias("slots_filled"), F.sum(F.col("n") * size).cast("bigint").alias("tokens_used"))
-    full = known.join(used, "source", "left").na.fill(0, ["slots_drawn", "slots_filled", "tokens_used"])
+    """Per source: target and reached share of the mixture's tokens, slots drawn and filled, and whether it falls short.
+
+    What was reached is counted in the blocks that the slots were filled with. Empty slots are spread by their number.
+    """
+    drawn = slots(sizes, targets, block_tokens, shard_slots, seed).select("source", F.coalesce("block", -1 - F.col("slot")).alias("block"))
+    packed = pack(sizes, targets, block_tokens).groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("size"))
+    used = drawn.join(packed, ["source", "block"], "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("slots_drawn"), F.count("size").alias("slots_filled"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("tokens_used"))
+    full = capacity(sizes, targets).join(used, "source", "left").na.fill(0, ["slots_drawn", "slots_filled", "tokens_used"])
     return full.withColumn("reached_share", F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy())).drop("all_tokens")
+
+
+def fallen_short(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """``shares`` of the sources with slots that stayed empty and, by their exact number of tokens, can't reach their share.
+
+    A draw is random, so of few slots a source just below its share may by chance get none too many; a slot more or
+    less matters only near the limit.
+    """
+    return shares(sizes, targets, block_tokens, shard_slots, seed).where("slots_filled < slots_drawn and short")
+
+
+def checked(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """What must hold of every mixture, per source: ``tokens_once``, ``within_repeats``, ``near_target``.
+
+    Each token lies in one block; no block is used more than ``max_repeats`` times; the slots drawn are within six
+    standard deviations of the target share of all slots.
+    """
+    key = _key(F.col("source"))
+    parts = pack(sizes, targets, block_tokens)
+    docs = parts.groupBy("source", "doc_id").agg(F.min("from_token").alias("lo"), F.max("to_token").alias("hi"), F.sum(F.col("to_token") - F.col("from_token")).alias("n"), F.count(F.lit(1)).alias("parts"), (F.max("block") - F.min("block") + 1).alias("blocks"))
+    docs = docs.withColumn("whole", (F.col("lo") == 0) & (F.col("hi") == F.col("n")) & (F.col("parts") == F.col("blocks")))
+    packed = docs.groupBy(key.alias("key")).agg(F.every("whole").alias("whole"), F.sum("n").alias("packed"))
+    used = slots(sizes, targets, block_tokens, shard_slots, seed).where("block is not null").groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
+    most = used.groupBy(key.alias("key")).agg(F.max("n").alias("most"))
+    one = Window.partitionBy()
+    known = shares(sizes, targets, block_tokens, shard_slots, seed).withColumn("key", key).join(packed, "key", "left").join(most, "key", "left")
+    p, n = F.col("target_share") / F.sum("target_share").over(one), F.sum("slots_drawn").over(one)
+    return known.select(
+        "source", (F.coalesce("whole", F.lit(True)) & (F.coalesce("packed", F.lit(0)) == F.col("n_tokens"))).alias("tokens_once"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("slots_drawn") - n * p) <= 6 * F.sqrt(n * p * (1 - p)) + 1).alias("near_target"),
+    )

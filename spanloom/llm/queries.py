@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from spanloom.llm import cross_split, group_split, leaks, mixture, quantiles, re
 from spanloom.session import checkpoint, table
 
 TRACK_KEY = ["track_id", "chrom", "start", "end", "value", "run_day"]
-PCTS = (20, 50, 80)
+PCTS, SUMMARY = (20, 50, 80), (5, 20, 50, 80, 95)
 
 
 def split_name(split: Column) -> Column:
@@ -33,7 +34,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median and other percentiles per chromosome, from the days' sketches."""
     merged = quantiles.merge(_day_sketch(spark, folder), ["chrom"])
-    return quantiles.percentiles(merged, ["chrom"], (5, 20, 50, 80, 95))
+    found = quantiles.percentiles(merged, ["chrom"], SUMMARY)
+    return found.withColumns({f"p{p}": F.round(f"p{p}", 6) for p in SUMMARY})
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,9 +65,9 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chrom_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Every spelling of a sequence, with the one name of its component."""
+    """Every spelling of a sequence, with the least one of its component."""
     chroms = table(spark, folder, "chroms")
-    return group_split.components(chroms.select(spelling(F.col("chrom")).alias("u"), spelling(F.col("alt_name")).alias("v")))
+    return group_split.named_by_least(group_split.components(chroms.select(spelling(F.col("chrom")).alias("u"), spelling(F.col("alt_name")).alias("v"))))
 
 
 def _with_component(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,16 +106,16 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(documents, items), items, documents)
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = tokens.token_sizes(table(spark, folder, "documents"))
-    return mixture.capacity(sizes, table(spark, folder, "mix_targets")).where("short").select("source")
-
-
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, written once as the mixture reads them several times."""
     return checkpoint(tokens.token_sizes(table(spark, folder, "documents")))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources whose slots in the mixture can't all be filled; their number of tokens confirms it."""
+    return mixture.fallen_short(_sizes(spark, folder), table(spark, folder, "mix_targets")).select("source")
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
@@ -122,6 +124,11 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the mixture of each source."""
+    return mixture.checked(_sizes(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = reading.fit(documents, table(spark, folder, "reading_labels"))
@@ -135,7 +142,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_percentiles, p2_found, p2_runs, p3_found, p3_counts, p5_found, p5_shares, p5_assigned, p6_found, p6_report, p7_found, p7_shares, p7_mixture, p8_found, p8_profile]
+    found = [p1_found, p1_percentiles, p2_found, p2_runs, p3_found, p3_counts, p5_found, p5_shares, p5_assigned, p6_found, p6_report, p7_found, p7_shares, p7_mixture, p7_checked, p8_found, p8_profile]
     return {f.__name__: f for f in found}
 
 
@@ -154,14 +161,38 @@ p AS (SELECT t.id AS t_id, h.id AS h_id FROM t JOIN h ON t.chrom = h.chrom AND t
   WHERE 10 * (least(t.e, h.e) - greatest(t.s, h.s)) >= 9 * greatest(t.e - t.s, h.e - h.s))"""
 
 
+_SPLITS = f"""WITH c2 AS (SELECT lower(trim(chrom, ' ' || chr(9))) AS a, lower(trim(alt_name, ' ' || chr(9))) AS b FROM chroms),
+nm AS (SELECT a AS k, least(a, b) AS component FROM c2 UNION SELECT b, least(a, b) FROM c2),
+rw AS (SELECT interval_id, component FROM some_intervals LEFT JOIN nm ON lower(trim(chr, ' ' || chr(9))) = nm.k),
+cw AS (SELECT %s AS component, count(*) AS weight FROM rw WHERE %s GROUP BY 1),
+co AS (SELECT component, weight, coalesce(sum(weight) OVER (ORDER BY -floor(ln(weight) / ln(1.02)), md5(component) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER () AS total FROM cw),
+bd AS (SELECT split_name, sum(target_share) OVER (ORDER BY target_share DESC, split_name) / sum(target_share) OVER () AS hi FROM split_targets WHERE target_share > 0),
+gv AS (SELECT component, weight, coalesce((SELECT arg_min(split_name, hi) FROM bd WHERE hi > (before + weight / 2) / total), (SELECT arg_max(split_name, hi) FROM bd)) AS split_name FROM co)"""
+_OWN = "coalesce(component, concat('row=', interval_id))"
+
+
+def _bucketed() -> str:
+    """Percentiles per chromosome: the value of the rank, then the middle of its bucket."""
+    g = (1 + quantiles.ACCURACY) / (1 - quantiles.ACCURACY)
+    at = ", ".join(f"l[CAST(floor({p / 100.0!r} * (n - 1)) AS BIGINT) + 1] AS v{p}" for p in SUMMARY)
+    mid = ", ".join(f"round(CASE WHEN v{p} = 0 THEN 0.0 ELSE sign(v{p}) * exp(ceil(ln(abs(v{p})) / {math.log(g)!r}) * {math.log(g)!r}) * {2 / (1 + g)!r} END, 6) AS p{p}" for p in SUMMARY)
+    return f"""WITH u AS (SELECT DISTINCT track_id, chrom, start, "end", value, run_day FROM track_intervals WHERE chrom IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+s AS (SELECT chrom, count(*) AS n, list_sort(list(CAST(value AS DOUBLE))) AS l FROM u GROUP BY chrom), v AS (SELECT chrom, n, {at} FROM s)
+SELECT chrom, n AS n_values, {mid} FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """p1_found takes exact percentiles; p7_found takes characters for tokens: no case lies near the limits of either."""
+    """p1_found takes exact percentiles; p7_found takes characters for tokens: no case lies near the limits of either.
+
+    p7_checked states what must hold of any mixture, as SQL can neither count tokens nor draw.
+    """
     return {
         "p1_found": """WITH u AS (SELECT DISTINCT track_id, chrom, start, "end", value, run_day FROM track_intervals WHERE chrom IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
 a AS (SELECT chrom, quantile_disc(value, [0.2, 0.5, 0.8]) AS q FROM u GROUP BY chrom),
 d AS (SELECT chrom, run_day, count(*) AS n, quantile_disc(value, [0.2, 0.5, 0.8]) AS q FROM u GROUP BY chrom, run_day),
 l AS (SELECT d.chrom, run_day, n, unnest([20, 50, 80]) AS pct, unnest(d.q) AS dv, unnest(a.q) AS av FROM d JOIN a ON d.chrom = a.chrom)
 SELECT chrom, run_day, pct FROM l WHERE n >= 60 AND (dv >= 2 * av OR dv <= av / 2)""",
+        "p1_percentiles": _bucketed(),
         "p2_found": f"{_RUNS} SELECT track_id, chrom, run_start, run_end, n_rows FROM g WHERE n_rows >= 3",
         "p2_runs": f"{_RUNS} SELECT track_id, chrom, run_start, run_end, n_rows, run_end - run_start AS n_bases FROM g",
         "p3_found": f"{_PANEL} SELECT least(t_id, h_id) AS interval_id_a, greatest(t_id, h_id) AS interval_id_b FROM p",
@@ -170,6 +201,10 @@ SELECT split, source, count(*) AS n_held, count(links) AS n_leaked, CAST(coalesc
         "p5_found": f"""WITH {_NAMES}, i AS (SELECT interval_id, n.chrom, {_SPLIT} AS split FROM some_intervals JOIN n ON lower(trim(chr, ' ' || chr(9))) = n.k),
 c AS (SELECT chrom, split, count(*) AS n FROM i WHERE split IS NOT NULL GROUP BY ALL), m AS (SELECT chrom, arg_min(split, (-n, split)) AS top FROM c GROUP BY chrom)
 SELECT interval_id FROM i JOIN m ON i.chrom = m.chrom WHERE i.split <> m.top""",
+        "p5_shares": _SPLITS % ("component", "component IS NOT NULL") + """, g AS (SELECT split_name, count(*) AS n_components, CAST(sum(weight) AS BIGINT) AS n_rows FROM gv GROUP BY split_name)
+SELECT t.split_name, target_share, coalesce(n_components, 0) AS n_components, coalesce(n_rows, 0) AS n_rows FROM split_targets t LEFT JOIN g ON t.split_name = g.split_name""",
+        "p5_assigned": _SPLITS % (_OWN, "true") + f" SELECT interval_id, split_name FROM rw JOIN gv ON gv.component = {_OWN.replace('component', 'rw.component')}",
+        "p7_checked": "SELECT source, true AS tokens_once, true AS within_repeats, true AS near_target FROM mix_targets",
         "p7_found": """WITH d AS (SELECT lower(trim(source, ' ' || chr(9))) AS k, sum(length(text)) AS n FROM documents GROUP BY 1),
 m AS (SELECT t.*, coalesce(d.n, 0) AS n FROM mix_targets t LEFT JOIN d ON d.k = lower(trim(t.source, ' ' || chr(9))))
 SELECT source FROM m WHERE n * max_repeats < target_share * (SELECT sum(n) FROM m)""",

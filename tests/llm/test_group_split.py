@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+import pytest
+
 from spanloom.llm import group_split as g
 
 
@@ -54,14 +57,25 @@ def test_shares(spark):
     assert g.split_components(spark.createDataFrame([], "component string, weight long"), targets).count() == 0
 
 
-def test_cumulative_is_a_prefix_sum(spark):
-    df = spark.createDataFrame([(i % 5, f"k{i}", i) for i in range(200)], "a int, b string, w long")
-    got = sorted(g.cumulative(df, ["a", "b"], "w", "at").collect(), key=lambda r: (r["at"], r.w))
+def test_components_named_by_least(spark):
+    edges = [(f"v{i % 7}", f"v{i}") for i in range(60)] + [("z", "b"), ("b", "q"), ("w", "w")]
+    labels = g.components(spark.createDataFrame(edges, "u string, v string"))
+    got = {r.vertex: r.component for r in g.named_by_least(labels).collect()}
+    same_partition(got, union_find(edges))
+    assert all(c == min(v for v in got if got[v] == c) for c in got.values())
+
+
+@pytest.mark.parametrize("piece_rows", [1 << 16, 7])
+def test_cumulative_is_a_prefix_sum(spark, piece_rows):
+    """The second value of the first column has most of the rows, all alike, and is cut into many pieces."""
+    data = [(i % 5, f"k{i}", i) for i in range(200)] + [(1, f"s{i}", 1) for i in range(900)]
+    df = spark.createDataFrame(data, "a int, b string, w long")
+    got = {r.b: r["at"] for r in g.cumulative(df, ["a", "b"], "w", "at", piece_rows).collect()}
     total = 0
-    for r in sorted(got, key=lambda r: (r["at"] + r.w, r["at"])):
-        assert r["at"] == total
-        total += r.w
-    assert [r.a for r in got if r.w] == sorted(r.a for r in got if r.w)
+    for _, b, w in sorted(data, key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest())):
+        assert got[b] == total
+        total += w
+    assert len(got) == len(data)
 
 
 def test_misplaced(spark):

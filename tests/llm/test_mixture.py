@@ -6,6 +6,7 @@ import pytest
 from spanloom.llm import mixture as m
 
 SIZES = [(i, s, n) for i, (s, n) in enumerate([(" A\t", 700), ("a", 301), ("a", 0), ("B", 90), ("b", 33), ("other", 999), (None, 50), ("a", 2000), ("b", 1), ("c", 400)])]
+SIZES_SCHEMA = "doc_id long, source string, n_tokens long"
 TARGETS = [("A", 0.2, 3), ("b", 0.5, 2), ("c", 0.2, 4), ("none", 0.1, 4)]
 
 
@@ -64,7 +65,35 @@ def test_slots_respect_repeats_and_shares(tables):
     assert {r.source: r["sum(to_token)"] - r["sum(from_token)"] for r in joined} == {s: r.tokens_used for s, r in report.items() if r.tokens_used}
 
 
+def test_many_pieces_of_one_source(spark, tables):
+    sizes = spark.createDataFrame([(i, "a" if i % 9 else "b", 1 + i % 13) for i in range(3000)], SIZES_SCHEMA)
+    parts = m.pack(sizes, tables[1], 64, piece_docs=50).collect()
+    for source in "Ab":
+        n = Counter()
+        for r in parts:
+            if r.source == source:
+                n[r.block] += r.to_token - r.from_token
+        assert sorted(n) == list(range(len(n))) and all(n[i] == 64 for i in range(len(n) - 1))
+        assert sum(n.values()) == sum(1 + i % 13 for i in range(3000) if bool(i % 9) == (source == "A"))
+
+
+def test_slots_are_numbered_over_pieces_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(m, "PIECE_SHARDS", 4)
+    sizes, targets = spark.createDataFrame([(i, "a", 40) for i in range(50)], SIZES_SCHEMA), spark.createDataFrame([("a", 0.7, 9), ("x", 0.3, 1)], "source string, target_share double, max_repeats int")
+    slots = m.slots(sizes, targets, block_tokens=8, shard_slots=10).collect()
+    for source in ("a", "x"):
+        own = sorted((r.slot, r.shard) for r in slots if r.source == source)
+        assert [s for s, _ in own] == list(range(len(own))) and [h for _, h in own] == sorted(h for _, h in own)
+    assert len({r.shard for r in slots}) == 25
+
+
+def test_short_sources_and_checks(tables):
+    assert {r.source for r in m.fallen_short(*tables, block_tokens=8, shard_slots=50).collect()} == {"b", "none"}
+    assert all(r.tokens_once and r.within_repeats and r.near_target for r in m.checked(*tables, block_tokens=8, shard_slots=50).collect())
+
+
 def test_empty(spark, tables):
     none = tables[0].limit(0)
+    assert m.fallen_short(none, tables[1]).count() == 0 and m.shares(none, tables[1]).count() == 4
     assert m.slots(none, tables[1]).count() == 0 and m.pack(none, tables[1]).count() == 0 and m.capacity(none, tables[1]).count() == 4
     assert m.capacity(tables[0], tables[1].limit(0)).count() == 0
