@@ -12,8 +12,12 @@ out. Then each run of them is tried as a word as well: wherever a passage has su
 the stretch is followed to both sides, each further hidden character being left out or taken, until it has ``WORDS``
 words or ends.
 
+What is doubtful in a document, such as a line that reads like an advert, is left out of its words; then the stretch
+around each doubtful part is searched as it reads if that part is spoken.
+
 The corpus isn't shuffled: each task scans its documents against the table. The table is a broadcast of bounded
-size: passages are taken in blocks of at most ``BLOCK_CHARS`` characters, one scan of the corpus per block.
+size: passages are taken in blocks of at most ``BLOCK_CHARS`` characters, one scan of the corpus per block. A Python
+worker makes its tables from it once.
 
 Null, empty and speechless texts leak nothing; a passage of fewer than ``words`` words has no pattern. Repeated items
 and documents are reported like any other row; a pair is reported once.
@@ -21,6 +25,7 @@ and documents are reported like any other row; a pair is reported once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +53,7 @@ class Searcher:
         self.passages: list[tuple[int, list[str], list[int]]] = []
         self.hidable: list[list[bool]] = []
         for item, text in passages:
-            known = [w for w in (text or "").split() if spoken.fine[w]]
+            known = [w for w in spoken.words_of(text or "") if spoken.fine[w]]
             fine = [spoken.fine[w] for w in known]
             self.passages.append((item, fine, [self.ids.setdefault(spoken.skeleton(f), len(self.ids)) for f in fine]))
             self.hidable.append([spoken.may_be_hidden(w) for w in known])
@@ -153,11 +158,33 @@ class Searcher:
                 end += 1
         return out
 
+    def spoken_in(self, text: str | None, code_of: spoken.Memo) -> set[int]:
+        """Items of which ``words`` consecutive words are spoken in a document, whether or not its doubtful parts are spoken."""
+        words, parts = spoken.read(text)
+        if not any(parts):
+            return self.found(words, code_of)
+        out = self.found([w for w, p in zip(words, parts) if not p], code_of)
+        for stretch in spoken.stretches(words, parts, self.words - 1):
+            out |= self.found(stretch, code_of)
+        return out
+
     def codes(self) -> spoken.Memo:
         """Word as written to its skeleton's number: -1 if no passage has it, ``HIDDEN`` if it may be a word all hidden, None if it is no word."""
         return spoken.Memo(lambda w: self.ids.get(spoken.skeleton(f), -1) if (f := spoken.fine[w]) else HIDDEN if spoken.hides_a_word(w) else None)
 
 
+_made: dict[str, tuple[Searcher, spoken.Memo]] = {}
+
+
+def _searcher(name: str, passages: list[tuple[int, str]], words: int) -> tuple[Searcher, spoken.Memo]:
+    """The tables of a block of passages and its codes, kept by the Python worker for its next task."""
+    if name not in _made:
+        _made.clear()
+        made = Searcher(passages, words)
+        _made[name] = made, made.codes()
+    return _made[name]
+
+
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``limit`` characters; a longer passage is a block of its own."""
     block: list[tuple[int, str]] = []
@@ -180,15 +207,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, blo
     arrow = [to_arrow_type(f.dataType) for f in schema]
     result: DataFrame | None = None
     for passages in _blocks(items, block_chars):
-        table = spark.sparkContext.broadcast(passages)
+        table, name = spark.sparkContext.broadcast(passages), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(table.value, words)
-            code_of = searcher.codes()
+        def scan(batches: Iterator[pa.RecordBatch], table=table, name=name) -> Iterator[pa.RecordBatch]:
+            searcher, code_of = _searcher(name, table.value, words)
             for batch in batches:
                 ids, docs = [], []
                 for doc, text in zip(batch.column(0), batch.column(1)):
-                    for item in searcher.found(spoken.tokens(text.as_py()), code_of):
+                    for item in searcher.spoken_in(text.as_py(), code_of):
                         ids.append(item)
                         docs.append(doc.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow[0]), pa.array(docs, arrow[1])], names=["item_id", "doc_id"])

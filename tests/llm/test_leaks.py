@@ -62,6 +62,17 @@ def test_equals_brute_force(spark):
     assert report.n_items == 14 and report.n_leaked_items == len({i for i, _ in expected}) and report.n_docs == len({d for _, d in expected})
 
 
+def test_stretches_over_doubtful_parts():
+    passage = "we stood there and he told me remember we must leave now or never"
+    search = leaks.Searcher([(1, passage)])
+    codes = search.codes()
+    shown = "00:00:01,000 --> 00:00:02,000\nwe stood there and he\n\n%s00:00:03,000 --> 00:00:04,000\ntold me\nRemember: we must leave now\n"
+    for between in ("", "00:00:02,000 --> 00:00:02,500\nGet more captions at some.example\n\n", "00:00:02,000 --> 00:00:02,500\n[door\nslams]\n\n"):
+        assert search.spoken_in(shown % between, codes) == {1}
+    spoken_cue = "00:00:02,000 --> 00:00:02,500\nget more candles\n\n"
+    assert search.spoken_in(shown % spoken_cue, codes) == set() and search.spoken_in(None, codes) == set()
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, passage string, suite string")

@@ -34,6 +34,41 @@ def test_what_is_spoken():
         assert s.tokens(text) == []
 
 
+def cue(*lines):
+    return "1\n00:00:01,000 --> 00:00:02,000\n" + "\n".join(lines) + "\n\n2\n00:00:03,000 --> 00:00:04,000\nnext\n"
+
+
+def test_speech_that_looks_like_something_else_is_kept():
+    for lines, spoken in [
+        (["He left the house.Then he ran away"], "He left the house. Then he ran away next"),
+        (["write to bob @ noon today"], "write to bob @ noon today next"),
+        (["two * three * four words"], "two * three * four words next"),
+        (["[door", "slams] Come in"], "Come in next"),
+        (["(a long", "way off) ♪ sings", "and hums ♪ Listen"], "Listen next"),
+        (["Watch the sky for free"], "Watch the sky for free next"),
+        (["He said", "mornings.then left it all"], "He said mornings.then left it all next"),
+        (["JOHN: I know", "- MARY: So do I"], "I know So do I next"),
+        (["*door slams*", "Come *now*"], "Come next"),
+        (["Subtitles by the window make it hard to see anything that goes on"], "Subtitles by the window make it hard to see anything that goes on next"),
+    ]:
+        assert s.tokens(cue(*lines)) == spoken.split(), lines
+
+
+def test_doubtful_parts_are_read_both_ways():
+    for lines, certain, doubtful in [
+        (["Subtitles by the window"], "next", ["Subtitles by the window next"]),
+        (["Write to me at bob@home.net soon"], "next", ["Write to me at soon next"]),
+        (["Get more at www.some.example"], "next", ["Get more at next"]),
+        (["Remember: we must leave now"], "we must leave now next", ["Remember we must leave now next"]),
+        (["STOP: WE MUST GO"], "WE MUST GO next", ["STOP WE MUST GO next"]),
+        (["? so they say ?", "Ann: yes"], "yes next", ["so they say yes next", "so they say Ann yes next", "Ann yes next", "so they say Ann yes next"]),
+    ]:
+        words, parts = s.read(cue(*lines))
+        assert [w for w, p in zip(words, parts) if not p] == s.tokens(cue(*lines)) == certain.split(), lines
+        assert [" ".join(x) for x in s.stretches(words, parts, 11)] == doubtful, lines
+    assert list(s.stretches(["a", "b", "c", "d"], [0, 0, 1, 0], 1)) == [["b", "c", "d"]]
+
+
 def test_very_long_text():
     text = "1\n00:00:01,000 --> 00:00:02,000\n" + "word " * 300_000 + "\n" + "x" * 100_000
     assert len(s.tokens(text)) == 300_001
