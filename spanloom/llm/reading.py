@@ -4,9 +4,11 @@ Fitting takes a bounded sample of labelled documents. For each word the rates at
 level are set against each other; its acquisition grade is the level, between levels by interpolation, at which
 ``ACQUIRED`` of that distribution is reached: low for a word met early and often, high for one that only demanding
 texts use. A document is then described by quantiles of the grades of its known words. The quantile used, and its cut
-points between levels, are those that tell the labelled documents' levels apart best.
+points between levels, are those that tell the labelled documents' levels apart best; for this, each document is
+described by grades made without its own fold of the sample. Prediction uses the grades of all of it.
 
-Prediction reads every document whole, once, with the fitted table, whose size the sample bounds, sent to each task.
+Fitting reads the corpus once, for the labelled documents' word counts, which are written; prediction reads every
+document whole, once, with the fitted table, whose size the sample bounds, sent to each task.
 Copies get the level of their text. Null, empty and speechless texts have no row. A text without any known word gets
 the middle level of the sample. Opinions on one document are joined by their median, null ones left out; labels of
 unknown documents are ignored. Without any label nothing can be fitted: a ValueError says so.
@@ -26,18 +28,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.llm import spoken
+from spanloom.session import checkpoint
 
 #: Bound on the labelled documents that fitting uses; which ones is chosen by a hash of the id.
 MAX_LABELLED = 20_000
 #: A word is known if it occurs in so many labelled documents.
 MIN_DOCS = 3
 ACQUIRED = 0.3
+#: Parts of the sample, by a hash of the id, that are held out in turn.
+FOLDS = 5
 QUANTILES = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
 @dataclass
 class Model:
-    """Acquisition grade by word, the quantile that serves as feature, and its cut points between levels."""
+    """Acquisition grade by word, the quantile that serves as feature, its cut points between levels, and the held-out accuracy."""
 
     grades: dict[str, float]
     quantile: float
@@ -85,50 +90,71 @@ def acquisition_grades(rates: dict[str, dict[int, float]], levels: list[int], ac
     return grades
 
 
+def _word_counts(documents: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """``(level, fold, words, counts)`` of each labelled document, written once."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)).cast("int")
+    sample = documents.select("doc_id", "text").join(F.broadcast(labelled(labels, limit)), "doc_id").select("text", "level", fold)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [Counter(f for f in spoken.forms(text.as_py()) if "*" not in f) for text in batch.column(0)]
+            words, ns = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), words, ns], names=["level", "fold", "words", "counts"])
+
+    return checkpoint(sample.mapInArrow(counted, "level int, fold int, words array<string>, counts array<int>"))
+
+
+def _known(counts: DataFrame) -> DataFrame:
+    """``(word, cells)``: how often each known word occurs in each level and fold; the sample's size bounds the words."""
+    each = counts.select("level", "fold", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word"), "level", "fold")
+    cells = each.agg(F.sum("w.counts").alias("n"), F.count(F.lit(1)).alias("docs"))
+    words = cells.groupBy("word").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("level", "fold", "n")).alias("cells"))
+    most = counts.select(F.explode("words").alias("word")).groupBy("word").count().agg(F.max("count").alias("m")).scalar()
+    return words.where(F.col("docs") >= F.least(F.lit(MIN_DOCS), most)).select("word", "cells")
+
+
 def fit(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """The model of the labelled documents.
 
-    Their words are counted in Spark; the driver gets one row per known word and level, and then, per document, the
-    quantiles of its words' grades.
+    Their words are counted in Spark; the driver gets one row per known word, and then, per document, the quantiles of
+    its words' grades.
     """
     spark = documents.sparkSession
-    sample = documents.select("doc_id", "text").join(F.broadcast(labelled(labels, limit)), "doc_id").select("text", "level")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lv, ws, ns = [], [], []
-            for text, level in zip(*(c.to_pylist() for c in batch.columns)):
-                for w, n in Counter(f for f in spoken.forms(text) if "*" not in f).items():
-                    lv.append(level), ws.append(w), ns.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(lv, pa.int32()), pa.array(ns, pa.int32())], names=["word", "level", "n"])
-
-    counts = sample.mapInArrow(words, "word string, level int, n int").groupBy("word", "level").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
-    # the sample's size bounds its words
-    rows = counts.toPandas()
-    if rows.empty:
+    counts = _word_counts(documents, labels, limit)
+    sums = counts.select("level", "fold", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n")).groupBy("level", "fold").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    if not sums:
         raise ValueError("no labelled document has spoken words")
-    levels = sorted(int(v) for v in rows["level"].unique())
-    total = rows.groupby("level")["n"].sum()
-    spread = rows.groupby("word")["docs"].sum()
-    known = rows[rows["word"].map(spread) >= min(MIN_DOCS, int(spread.max()))]
-    rates: dict[str, dict[int, float]] = {}
-    for row in known.itertuples():
-        rates.setdefault(row.word, {})[int(row.level)] = row.n / total[row.level]
-    grades = acquisition_grades(rates, levels)
-    table = spark.sparkContext.broadcast(grades)
+    levels = sorted({r.level for r in sums})
+    words = {r.word: [(c.level, c.fold, c.n) for c in r.cells] for r in _known(counts).toLocalIterator()}
+
+    def grades_without(fold: int | None) -> dict[str, float]:
+        total = Counter()
+        for r in sums:
+            if r.fold != fold:
+                total[r.level] += r.n
+        rates: dict[str, dict[int, float]] = {}
+        for word, cells in words.items():
+            for level, f, n in cells:
+                if f != fold:
+                    own = rates.setdefault(word, {})
+                    own[level] = own.get(level, 0.0) + n / total[level]
+        return acquisition_grades(rates, levels)
+
+    grades = grades_without(None)
+    tables = spark.sparkContext.broadcast([grades_without(f) for f in range(FOLDS)])
 
     def quantiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lv, qs = [], []
-            for text, level in zip(*(c.to_pylist() for c in batch.columns)):
-                own = [table.value[f] for f in spoken.forms(text) if f in table.value]
+            for level, fold, ws, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                table = tables.value[fold]
+                own = [g for w, n in zip(ws, ns) if (g := table.get(w)) is not None for _ in range(n)]
                 if own:
                     lv.append(level), qs.append(np.quantile(own, QUANTILES).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(lv, pa.int32()), pa.array(qs, pa.list_(pa.float64()))], names=["level", "q"])
 
-    described = sample.mapInArrow(quantiles, "level int, q array<double>").collect()
-    per_doc, truth = [r.q for r in described], [r.level for r in described]
-    x, y = np.array(per_doc), np.array(truth, dtype=int)
+    described = counts.mapInArrow(quantiles, "level int, q array<double>").collect()
+    x, y = np.array([r.q for r in described]), np.array([r.level for r in described], dtype=int)
     middle = int(np.sort(y)[len(y) // 2]) if len(y) else levels[len(levels) // 2]
     best = Model(grades, 0.5, [], levels[:1], middle)
     best_score = -1.0
