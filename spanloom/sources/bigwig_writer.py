@@ -43,19 +43,22 @@ class Writer:
     def _tree(self, chroms: dict[str, int]) -> None:
         key = max([len(n) for n in self.names], default=1)
         self.f.write(struct.pack("<IIIIQQ", TREE_MAGIC, FAN_OUT, key, 8, len(self.names), 0))
-        groups = [self.names[i : i + FAN_OUT] for i in range(0, len(self.names), FAN_OUT)] or [[]]
-        if len(groups) > 1:  # one level of inner nodes
-            if len(groups) > FAN_OUT:
-                raise ValueError("too many chromosomes")
-            at = self.f.tell() + 4 + len(groups) * (key + 8)
-            self.f.write(struct.pack("<BBH", 0, 0, len(groups)))
-            for g in groups:
-                self.f.write(struct.pack(f"<{key}sQ", g[0].encode(), at))
-                at += 4 + len(g) * (key + 8)
-        for g in groups:
-            self.f.write(struct.pack("<BBH", 1, 0, len(g)))
-            for n in g:
-                self.f.write(struct.pack(f"<{key}sII", n.encode(), self.ids[n], chroms[n]))
+        # nodes of each level from the leaves up, each with its first name and its items
+        levels = [[(self.names[i], self.names[i : i + FAN_OUT]) for i in range(0, len(self.names), FAN_OUT)] or [("", [])]]
+        while len(levels[-1]) > 1:
+            levels.append([(g[0][0], g) for g in (levels[-1][i : i + FAN_OUT] for i in range(0, len(levels[-1]), FAN_OUT))])
+        at = self.f.tell()
+        for depth in range(len(levels) - 1, -1, -1):
+            at += sum(4 + len(items) * (key + 8) for _, items in levels[depth])
+            child = at
+            for _, items in levels[depth]:
+                self.f.write(struct.pack("<BBH", depth == 0, 0, len(items)))
+                for item in items:
+                    if depth == 0:
+                        self.f.write(struct.pack(f"<{key}sII", item.encode(), self.ids[item], chroms[item]))
+                    else:
+                        self.f.write(struct.pack(f"<{key}sQ", item[0].encode(), child))
+                        child += 4 + len(item[1]) * (key + 8)
 
     def add(self, chrom: str, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> None:
         """Steps of one chromosome."""
@@ -134,7 +137,7 @@ class Writer:
         self.f.close()
 
 
-def write_tracks(steps: DataFrame, chrom_sizes: dict[str, int], folder: str, rows_per_section: int = 1024) -> DataFrame:
+def write_tracks(steps: DataFrame, chrom_sizes: dict[str, int], folder: str, rows_per_section: int = 1024, zooms: tuple[int, ...] = ()) -> DataFrame:
     """Write ``<folder>/track_<id>.bw`` for every track; returns ``(track_id, path, n_steps)`` when acted on.
 
     A file is one track by its format, so a track's steps go to one task, sorted on disk and streamed through it. The
@@ -155,7 +158,7 @@ def write_tracks(steps: DataFrame, chrom_sizes: dict[str, int], folder: str, row
                         os.replace(writer.path, target)
                         done.append((track, target, n))
                     track, n, target = t, 0, f"{folder}/track_{int(t):05d}.bw"
-                    writer = Writer(f"{target}.{os.getpid()}", sizes, rows_per_section)
+                    writer = Writer(f"{target}.{os.getpid()}", sizes, rows_per_section, zooms=zooms)
                 writer.add(chrom, own["start"].to_numpy(np.int64), own["end"].to_numpy(np.int64), own["value"].to_numpy(np.float32))
                 n += len(own)
         if writer:

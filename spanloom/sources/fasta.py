@@ -1,9 +1,10 @@
 """A Spark data source for FASTA files: ``spark.read.format("fasta").load(path)`` gives ``(chrom, chunk, letters)``.
 
-The driver finds where each sequence starts and how its lines are laid out, from the ``.fai`` index beside the file or
-by one pass over it; of a folder, all files with one of the extensions. Tasks then read the bytes of their chunks. Only sequences whose lines have one length can be read
-by position, as an index demands. Options: ``path``, ``extensions``, ``chunk_size``, ``partition_chunks``. A filter on
-chrom reaches the planning.
+The driver finds where each sequence starts, from the ``.fai`` index beside the file or by looking for the lines that
+begin one, which reads the file's bytes but none of its lines; of a folder, all files with one of the extensions. Tasks
+then read the bytes of their chunks. Only sequences whose lines have one length can be read by position, as an index
+demands; tasks check that of every byte they read. Options: ``path``, ``extensions``, ``chunk_size``,
+``partition_chunks``. A filter on chrom reaches the planning.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from spanloom.sources.files import exists, opened
 from spanloom.sources.paths import find_files
 
 EXTENSIONS = (".fa", ".fasta")
 CHUNK = 1 << 16
 PARTITION_CHUNKS = 256
+SCAN_BYTES = 8 << 20
 
 
 @dataclass
@@ -41,31 +45,56 @@ class Stretches(InputPartition):
     parts: list[tuple[str, Entry, int, int]]
 
 
+def _headers(f) -> tuple[list[int], int]:
+    """Where the lines that begin a sequence are, and where the file ends."""
+    found, at, before = [], 0, b"\n"
+    while block := f.read(SCAN_BYTES):
+        text = before + block
+        hit = text.find(b"\n>")
+        while hit >= 0:
+            found.append(at + hit)
+            hit = text.find(b"\n>", hit + 1)
+        at += len(block)
+        before = block[-1:]
+    return found, at
+
+
 def index(path: str) -> list[Entry]:
-    """The sequences of a file, from its index if there is one."""
-    if os.path.exists(path + ".fai"):
-        with open(path + ".fai") as lines:
-            return [Entry(f[0], *map(int, f[1:5])) for f in (x.rstrip("\n").split("\t") for x in lines) if len(f) >= 5]
+    """The sequences of a file, from its index if there is one. Lines are taken to have the first one's length."""
+    if exists(path + ".fai"):
+        with opened(path + ".fai") as f:
+            return [Entry(x[0], *map(int, x[1:5])) for x in (line.split("\t") for line in f.read().decode().splitlines()) if len(x) >= 5]
     entries: list[Entry] = []
-    at, short = 0, False
-    with open(path, "rb") as lines:
-        for raw in lines:
-            text = raw.rstrip(b"\r\n")
-            if raw.startswith(b">"):
-                entries.append(Entry((text[1:].split() or [b""])[0].decode(), 0, at + len(raw), 0, 0))
-                short = False
-            elif entries and text:
-                e = entries[-1]
-                if short or (e.line and len(text) > e.line):
-                    raise ValueError(f"the lines of {e.name} have different lengths")
-                if not e.line:
-                    e.line, e.width = len(text), len(raw)
-                short = len(text) < e.line
-                e.length += len(text)
-            at += len(raw)
+    with opened(path) as f:
+        starts, size = _headers(f)
+        for start, end in zip(starts, [*starts[1:], size]):
+            f.seek(start)
+            head = f.read(min(1 << 13, end - start))
+            while head.count(b"\n") < 2 and start + len(head) < end:
+                head += f.read(min(len(head), end - start - len(head)))
+            name, _, rest = head.partition(b"\n")
+            first, newline, _ = rest.partition(b"\n")
+            offset, line = start + len(name) + 1, len(first.rstrip(b"\r"))
+            f.seek(max(end - 4, offset))
+            tail = f.read(end - max(end - 4, offset))
+            body = end - min(offset, end) - (len(tail) - len(tail.rstrip(b"\r\n")))
+            width = len(first) + len(newline)
+            length = body // width * line + min(body % width, line) if line else 0
+            entries.append(Entry((name[1:].split() or [b""])[0].decode(), length, offset, line, width))
     return entries
 
 
+def _letters(f, e: Entry, lo: int, hi: int) -> str:
+    """Letters ``lo`` to ``hi`` of a sequence; ValueError if its lines have different lengths."""
+    start, end = (p // e.line * e.width + p % e.line for p in (lo, hi))
+    f.seek(e.offset + start)
+    raw = np.frombuffer(f.read(end - start), np.uint8)
+    breaks = (start + np.arange(len(raw))) % e.width >= e.line
+    if len(raw) != end - start or ((raw == 10) | (raw == 13) != breaks).any():
+        raise ValueError(f"the lines of {e.name} have different lengths")
+    return raw[~breaks].tobytes().decode("ascii")
+
+
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = find_files(options["path"], options.get("extensions", ",".join(EXTENSIONS)).split(","))
@@ -100,15 +129,30 @@ class FastaReader(DataSourceReader):
                         parts, room = [], self.per_partition
         return [*done, Stretches(parts)] if parts or not done else done
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         assert isinstance(partition, Stretches)
-        for path, e, first, last in partition.parts:
-            with open(path, "rb") as f:
+        names, numbers, texts, size, at, f = [], [], [], 0, None, None
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["chrom", "chunk", "letters"])
+
+        try:
+            for path, e, first, last in partition.parts:
+                if path != at:
+                    if f is not None:
+                        f.close()
+                    f, at = opened(path), path
                 for n in range(first, last):
-                    lo, hi = n * self.chunk, min((n + 1) * self.chunk, e.length)
-                    start, end = (e.offset + p // e.line * e.width + p % e.line for p in (lo, hi))
-                    f.seek(start)
-                    yield e.name, n, f.read(end - start).translate(None, b"\r\n").decode("ascii")
+                    text = _letters(f, e, n * self.chunk, min((n + 1) * self.chunk, e.length))
+                    names.append(e.name), numbers.append(n), texts.append(text)
+                    size += len(text)
+                    if size >= SCAN_BYTES:
+                        yield batch()
+                        names, numbers, texts, size = [], [], [], 0
+        finally:
+            if f is not None:
+                f.close()
+        yield batch()
 
 
 def write_sequences(df: DataFrame, folder: str, width: int = 60) -> DataFrame:

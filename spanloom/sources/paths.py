@@ -10,14 +10,21 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import below, is_uri
+
 EXTENSIONS = (".bigWig", ".bw")
 
 
 def find_files(path: Any, extensions: Iterable[str] = EXTENSIONS, crawl: bool = True) -> list[str]:
     """Signal files of a file, a folder (with sub-folders if ``crawl``), or a nested iterable of both, sorted, each once.
 
-    FileNotFoundError for what doesn't exist, ValueError for what is no path.
+    A path may be the URI of a remote store. FileNotFoundError for what doesn't exist, ValueError for what is no path.
     """
+    if is_uri(path):
+        found = below(path, crawl)
+        if found is None:
+            raise FileNotFoundError(f"no such file or folder: {path}")
+        return sorted(f for f in found if f == path or f.split("?")[0].endswith(tuple(extensions)))
     if isinstance(path, (str, os.PathLike)):
         p = Path(path)
         if p.is_file():

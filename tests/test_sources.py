@@ -54,9 +54,81 @@ def test_filters_reach_the_files(spark, rows, tmp_path):
     df = spark.read.format("bigwig").load(str(tmp_path)).where("track_id = 0 and chrom = 'chr2' and start < 3000 and end > 2000")
     assert rows(df.drop("track_id")) == sorted((r for r in expected if r[0] == "chr2" and r[1] < 3000 and r[2] > 2000), key=repr)
     reader = bigwig.BigWigReader({"path": str(tmp_path)}, "steps")
-    every = sum(len(p.chunks) for p in reader.partitions())
+    every = n_chunks(reader)
     list(reader.pushFilters([bigwig.EqualTo(("chrom",), "chr2"), bigwig.LessThan(("start",), 3000), bigwig.GreaterThan(("end",), 2000), bigwig.EqualTo(("track_id",), 0)]))
-    assert 0 < sum(len(p.chunks) for p in reader.partitions()) < every / 10
+    assert 0 < n_chunks(reader) < every / 10
+
+
+def n_chunks(reader):
+    n = 0
+    for part in reader.partitions():
+        for _, path, nodes, share in part.parts:
+            with open(path, "rb") as f:
+                h = bigwig.read_header(f)
+                n += len(reader.chunks_of(f, h, bigwig.read_chroms(f, h), nodes, share))
+    return n
+
+
+def test_many_small_files_share_partitions_and_are_not_opened(tmp_path):
+    for i in range(2000):
+        (tmp_path / f"{i}.bw").write_bytes(b"not yet read" * 100)
+    assert len(bigwig.BigWigReader({"path": str(tmp_path)}, "steps").partitions()) == 1
+    assert len(bigwig.BigWigReader({"path": str(tmp_path), "partition_bytes": "120000"}, "steps").partitions()) == 20
+
+
+def test_large_files_are_split_by_index_nodes(spark, rows, tmp_path):
+    bigwig.register(spark)
+    expected = made(tmp_path / "a.bw", 11, sizes={f"c{i:03d}": 9000 for i in range(40)}, section=2)
+    small = {"path": str(tmp_path), "partition_bytes": "4000"}
+    parts = bigwig.BigWigReader(small, "steps").partitions()
+    assert len(parts) > 5 and n_chunks(bigwig.BigWigReader(small, "steps")) == n_chunks(bigwig.BigWigReader({"path": str(tmp_path)}, "steps"))
+    assert rows(spark.read.format("bigwig").options(**small).load().drop("track_id")) == sorted(expected, key=repr)
+
+
+def test_over_65536_chromosomes(tmp_path):
+    sizes = {f"s{i:06d}": 100 + i for i in range(66_000)}
+    Writer(str(tmp_path / "a.bw"), sizes).close()
+    with open(tmp_path / "a.bw", "rb") as f:
+        assert dict(bigwig.read_chroms(f, bigwig.read_header(f)).values()) == sizes
+
+
+def test_files_by_uri(spark, rows, tmp_path):
+    bigwig.register(spark)
+    (tmp_path / "sub").mkdir()
+    expected = made(tmp_path / "a.bw", 12) + made(tmp_path / "sub" / "b.bw", 13)
+    uri = f"file://{tmp_path}"
+    assert paths.find_files(uri) == [f"{uri}/a.bw", f"{uri}/sub/b.bw"] and paths.find_files(uri, crawl=False) == [f"{uri}/a.bw"]
+    assert paths.find_files(f"{uri}/a.bw", [".other"]) == [f"{uri}/a.bw"]
+    assert rows(spark.read.format("bigwig").load(uri).drop("track_id")) == sorted(expected, key=repr)
+    with pytest.raises(FileNotFoundError):
+        paths.find_files(f"{uri}/none")
+
+
+def test_scattered_queries_read_few_chunks(spark, tmp_path):
+    """Queries on a hundredth of the bases, spread over a chromosome, and every base of the answer."""
+    sizes = {"chr1": 2_000_000, "chr2": 500_000}
+    made_ = []
+    for name in "ab":
+        w = Writer(str(tmp_path / f"{name}.bw"), sizes, 32)
+        for c, n in sizes.items():
+            s = np.arange(0, n - 50, 50)
+            v = (s % 977 + ord(name)).astype(np.float32)
+            w.add(c, s, s + 30, v)
+            made_.append((name, c, s, v))
+        w.close()
+    c = TrackCollection.open(spark, str(tmp_path))
+    starts = list(range(1000, 1_990_000, 100_000))
+    asked = (["chr1"] * len(starts), starts, [s + 1000 for s in starts])
+    read, every = c.chunks_near(c.queries(asked)), spark.read.format("bigwig").option("table", "chunks").load(str(tmp_path))
+    assert 0 < read.select("path", "data_offset").distinct().count() < 0.05 * every.count()
+    for r in c.values(asked).collect():
+        line = np.zeros(1000)
+        for name, chrom, s, v in made_:
+            if chrom == "chr1" and "ab"[r.track_id] == name:
+                for k in range((starts[r.query_id] - 30) // 50, (starts[r.query_id] + 1000) // 50 + 1):
+                    a = s[k] - starts[r.query_id]
+                    line[max(a, 0) : max(a + 30, 0)] = v[k]
+        np.testing.assert_array_equal(r["values"], line)
 
 
 def test_tables_of_a_file(spark, tmp_path):
@@ -87,7 +159,8 @@ def test_stored_zooms_equal_derived_ones(spark, tmp_path):
 def test_not_a_bigwig(tmp_path):
     (tmp_path / "a.bw").write_bytes(b"nothing at all")
     with pytest.raises(ValueError):
-        bigwig.BigWigReader({"path": str(tmp_path)}, "steps").partitions()
+        reader = bigwig.BigWigReader({"path": str(tmp_path)}, "steps")
+        list(reader.read(reader.partitions()[0]))
 
 
 def test_collection_of_files(spark, rows, tmp_path):
@@ -133,36 +206,55 @@ def test_fasta(spark, tmp_path, with_index):
     assert {r.chrom for r in spark.read.format("fasta").load(str(path)).where("chrom = 'tiny'").collect()} == {"tiny"}
 
 
-def test_uneven_fasta_is_refused(tmp_path):
-    (tmp_path / "g.fa").write_text(">a\nACGT\nAC\nACGT\n")
-    with pytest.raises(ValueError):
-        fasta.index(str(tmp_path / "g.fa"))
+@pytest.mark.parametrize("text", [">a\nACGT\nAC\nACGT\n", ">a\nACGT\nACGTA\nACG\n", ">a\nACGT\n\nACGT\nA"])
+def test_uneven_fasta_is_refused(tmp_path, text):
+    (tmp_path / "g.fa").write_text(text)
+    reader = fasta.FastaReader({"path": str(tmp_path / "g.fa")})
+    with pytest.raises(ValueError, match="different lengths"):
+        list(reader.read(reader.partitions()[0]))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", ""])
+def test_layouts_of_fasta(tmp_path, monkeypatch, end):
+    monkeypatch.setattr(fasta, "SCAN_BYTES", 5)
+    seqs = {"a": "ACGTACGTAC", "none": "", "b": "A", "c": "ACGT" * 5000}
+    new = end or "\n"
+    (tmp_path / "g.fa").write_bytes(("x" * 3 + new + "".join(f">{n} w > w{new}" + "".join(s[i : i + 9000] + new for i in range(0, len(s), 9000)) for n, s in seqs.items())).removesuffix("" if end else new).encode())
+    assert {e.name: e.length for e in fasta.index(str(tmp_path / "g.fa"))} == {n: len(s) for n, s in seqs.items()}
+    reader = fasta.FastaReader({"path": f"file://{tmp_path}/g.fa", "chunk_size": "7"})
+    got = dict.fromkeys(seqs, "")
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            for name, _, letters in zip(*(c.to_pylist() for c in batch.columns)):
+                got[name] += letters
+    assert got == seqs
 
 
 def test_finding_files(tmp_path):
-    for name in ("heart.bw", "one/kidney.bw", "one/lung.bw", "two/eye.bigWig", "two/misspelled.biggwigg"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name in ("top.bw", "deep/er/x.bw", "deep/y.bigWig", "deep/er/z.bw", "notes.txt", "deep/x.bw.bak"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).touch()
     found = lambda *a, **k: [p.removeprefix(str(tmp_path) + "/") for p in paths.find_files(*a, **k)]
-    assert found(tmp_path) == ["heart.bw", "one/kidney.bw", "one/lung.bw", "two/eye.bigWig"]
-    assert found(tmp_path, crawl=False) == ["heart.bw"]
-    assert found([tmp_path / "one", [tmp_path / "heart.bw"], tmp_path / "one"]) == ["heart.bw", "one/kidney.bw", "one/lung.bw"]
-    assert found(tmp_path, [".bigWig"]) == ["two/eye.bigWig"]
+    assert found(tmp_path) == ["deep/er/x.bw", "deep/er/z.bw", "deep/y.bigWig", "top.bw"]
+    assert found(tmp_path, crawl=False) == ["top.bw"]
+    assert found([tmp_path / "deep" / "er", [tmp_path / "top.bw"], tmp_path / "deep" / "er"]) == ["deep/er/x.bw", "deep/er/z.bw", "top.bw"]
+    assert found(tmp_path, [".bak", ".txt"]) == ["deep/x.bw.bak", "notes.txt"]
     with pytest.raises(FileNotFoundError):
         paths.find_files(tmp_path / "none")
     with pytest.raises(ValueError):
         paths.find_files(5)
 
 
-KEYS = {"ENCFF1234": 1234, "ENCFF5678": 5678, "liver": 5000, "brain": 6000, "liver/specific.bigWig": 1111, "kidney/other": 2222, "liver/ENCFF4444": 4444, "brain/ENCFF4444": 5555}
+# a file's own name beats any folder, the longer run of parts the shorter, the inner folder the outer
+KEYS = {"run7": 7, "run8": 8, "skin": 50, "day1": 60, "skin/run9": 9, "day1/run9": 10, "day1/whole.bw": 11, "raw/day1": 12}
 EXPECTED = {
-    "liver/ENCFF1234": 1234, "brain/ENCFF1234": 1234, "liver/ENCFF4444": 4444, "brain/ENCFF4444": 5555, "liver/ENCFF5678": 5678, "liver/ENCFF5000": 5000, "brain/brain_track": 6000,
-    "liver/specific": 1111, "kidney/other": 2222, "kidney/ENCFF9101": None,
+    "skin/run7": 7, "day1/run7": 7, "skin/run8": 8, "skin/run9": 9, "day1/run9": 10, "skin/other": 50, "skin/day1/other": 60, "day1/skin/other": 50, "raw/day1/other": 12, "day1/raw/other": 60,
+    "day1/whole": 11, "bone/other": None,
 }
 
 
 def test_values_for_paths(spark):
-    full = {f"/data/set/{k}.bigWig": v for k, v in EXPECTED.items()}
+    full = {f"/mnt/all/{k}.bw": v for k, v in EXPECTED.items()}
     for path, value in full.items():
         assert paths.value_for_path(path, KEYS) == value
     tracks = spark.createDataFrame(list(enumerate(full)), "track_id int, path string")
