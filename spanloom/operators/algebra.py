@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.chrom import standard_chromosomes
-from spanloom.operators.blocks import carried, join_on_same
-from spanloom.operators.overlap import BIN
-from spanloom.session import checkpoint
 
 BLOCK = 1 << 22
+#: Bases of a bin in which intervals meet holes: much longer than most intervals, so that few cross a border.
+HOLE_BIN = 1 << 16
 
 
 def select_chromosomes(df: DataFrame, include: str | Sequence[str] = "all", exclude: str | Iterable[str] | None = None) -> DataFrame:
@@ -55,73 +54,69 @@ def first_tracks(df: DataFrame, n: int | None) -> DataFrame:
 def merge(df: DataFrame, by: Sequence[str] = ("chrom",), allow_gap: int = 0, block: int = BLOCK) -> DataFrame:
     """``(*by, start, end, value)``: rows joined while the next start is at most ``allow_gap`` past the furthest end so far.
 
-    ``value`` is the largest of the joined rows, null if none has one; it is left out if ``df`` has none. Windows cover
-    (group, block); the furthest end of earlier blocks comes from a table of block totals, and the first and last
-    islands of blocks meet in a second window of at most two rows a block.
+    ``value`` is the largest of the joined rows, null if none has one; it is left out if ``df`` has none. Rows are cut at
+    the borders of blocks, so windows cover a (group, block) and need nothing of other blocks; the first and last
+    islands of blocks then meet in a second window of at most two rows a block. The input is read once.
     """
     if allow_gap < 0:
         raise ValueError("a gap is not negative")
     named, by = list(by), [f"__k{i}" for i in range(len(by))]
     valued = "value" in df.columns
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(named, by)], F.col("start").alias("s"), F.col("end").alias("e"), (F.col("value") if valued else F.lit(None).cast("double")).alias("v")).where("e > s")
-    rows = rows.withColumn("block", F.floor(F.col("s") / block))
-    reach = carried(rows, by, "block", F.max("e"), "far", F.max)
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(named, by)], F.col("start").alias("s"), F.col("end").alias("e"), *([F.col("value").alias("v")] if valued else [])).where("e > s")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("e") - 1) / block))))
+    rows = rows.withColumns({"s": F.greatest("s", F.col("block") * block), "e": F.least("e", (F.col("block") + 1) * block)})
+    largest = [F.max("v").alias("v")] if valued else []
     inside = Window.partitionBy(*by, "block").orderBy("s", "e")
-    spread = join_on_same(rows.repartition(*by, "block"), reach, [*by, "block"])
-    far = F.greatest("far", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    spread = spread.withColumn("new", F.coalesce((F.col("s") > far + allow_gap).cast("int"), F.lit(1)))
-    spread = spread.withColumn("island", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = spread.groupBy(*by, "block", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("v").alias("v"), F.max("new").alias("new"))
+    far = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce((F.col("s") > far + allow_gap).cast("int"), F.lit(1)))
+    rows = rows.withColumn("island", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*by, "block", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), *largest)
     # the first and the last island of each block meet in one window per group, all others keep their block
-    edge = (F.col("island") <= 1) | (F.col("island") == F.max("island").over(Window.partitionBy(*by, "block")))
+    edge = (F.col("island") == 1) | (F.col("island") == F.max("island").over(Window.partitionBy(*by, "block")))
     parts = parts.withColumn("place", F.when(~edge, F.col("block")))
-    order = Window.partitionBy(*by, "place").orderBy("block", "island").rowsBetween(Window.unboundedPreceding, 0)
-    joined = parts.withColumn("group", F.sum("new").over(order)).groupBy(*by, "place", "group").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("v").alias("v"))
-    out = joined.select(*[F.col(k).alias(c) for c, k in zip(named, by)], F.col("s").alias("start"), F.col("e").alias("end"), F.col("v").alias("value"))
-    return out if valued else out.drop("value")
+    order = Window.partitionBy(*by, "place").orderBy("s")
+    parts = parts.withColumn("new", F.coalesce((F.col("s") > F.lag("e").over(order) + allow_gap).cast("int"), F.lit(1)))
+    joined = parts.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "place", "group").agg(F.min("s").alias("s"), F.max("e").alias("e"), *largest)
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(named, by)], F.col("s").alias("start"), F.col("e").alias("end"), *([F.col("v").alias("value")] if valued else []))
 
 
-def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = BIN) -> DataFrame:
+def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = HOLE_BIN) -> DataFrame:
     """Intervals without the bases ``holes`` cover; an interval may fall into several, each keeping all other columns.
 
     ``buffer`` widens the holes first, their starts not below 0. Holes may overlap one another and name chromosomes
     that the intervals lack. Repeated intervals stay repeated.
 
     Merged holes are listed per (chromosome, bin), at most one for every two bases. An interval within one bin, the
-    usual case, meets its list in one join. Those over several bins meet their holes one by one and are grouped by all
-    their columns; their memory grows with the holes inside one interval.
+    usual case, meets its list in one join. One over several bins is cut at their borders, meets the lists piece by
+    piece, and what is left on both sides of a border is put together again by a window over its pieces.
     """
     if buffer:
         holes = padded(holes, buffer)
     columns = df.columns
     cut = merge(holes.select("chrom", "start", "end")).select(F.col("chrom").alias("__hchrom"), F.col("start").alias("__hs"), F.col("end").alias("__he"))
     cut = cut.withColumn("__hbin", F.explode(F.sequence(F.floor(F.col("__hs") / bin_size), F.floor((F.col("__he") - 1) / bin_size))))
-    rows = df.where("end > start and chrom is not null").withColumns({"__bin": F.floor(F.col("start") / bin_size), "__last": F.floor((F.col("end") - 1) / bin_size)})
-    same = (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin"))
-
     listed = cut.groupBy("__hchrom", "__hbin").agg(F.array_sort(F.collect_list(F.struct("__hs", "__he"))).alias("__all"))
-    short = rows.where(F.col("__bin") == F.col("__last")).join(listed, same, "left")
-    none = F.array().cast(listed.schema["__all"].dataType)
-    own = F.when(F.col("__all").isNull(), none).otherwise(F.filter("__all", lambda h: (h["__hs"] < F.col("end")) & (h["__he"] > F.col("start"))))
-    short = short.withColumn("__holes", own).select(*columns, "__holes")
-
-    long = rows.where(F.col("__bin") < F.col("__last")).groupBy(*columns, "__bin", "__last").agg(F.count(F.lit(1)).alias("__n"))
-    long = long.withColumn("__bin", F.explode(F.sequence("__bin", "__last")))
-    first = F.floor(F.greatest(F.col("start"), F.col("__hs")) / bin_size)
-    hit = long.join(cut, same & (F.col("__hs") < F.col("end")) & (F.col("__he") > F.col("start")) & (F.col("__bin") == first), "left")
-    hole = F.when(F.col("__hs").isNotNull(), F.struct("__hs", "__he"))
-    long = hit.groupBy(*columns).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(hole)).alias("__holes"))
-
-    def pieces(rows: DataFrame) -> DataFrame:
-        """What is left of each row; a row without holes is kept as it is, which spares it the work on arrays."""
-        starts = F.concat(F.array("start"), F.transform("__holes", lambda h: h["__he"]))
-        ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array("end"))
+
+    def pieces(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+        """``__piece``: what is left between two positions of a bin; a row without holes is kept as it is, which spares it the work on arrays."""
+        met = rows.join(listed, (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin")), "left")
+        met = met.withColumn("__holes", F.filter("__all", lambda h: (h["__hs"] < end) & (h["__he"] > start)))
+        starts = F.concat(F.array(start), F.transform("__holes", lambda h: h["__he"]))
+        ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array(end))
         left = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] < p["e"])
-        whole = F.array(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))
-        return rows.withColumn("__piece", F.explode_outer(F.when(F.size("__holes") == 0, whole).otherwise(left))).where(F.col("__piece").isNotNull())
+        whole = F.array(F.struct(start.alias("s"), end.alias("e")))
+        return met.withColumn("__piece", F.explode(F.when(F.size("__holes") > 0, left).otherwise(whole)))
+
+    rows = df.where("end > start and chrom is not null").withColumns({"__bin": F.floor(F.col("start") / bin_size), "__last": F.floor((F.col("end") - 1) / bin_size)})
+    short = pieces(rows.where(F.col("__bin") == F.col("__last")), F.col("start"), F.col("end")).withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
 
-    long = pieces(long).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).drop("__copy", "__n")
-    return pieces(short).unionByName(long).withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
+    long = rows.where(F.col("__bin") < F.col("__last")).groupBy(*columns, "__bin", "__last").agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", F.explode(F.sequence("__bin", "__last")))
+    parts = pieces(long, F.greatest(F.col("start"), F.col("__bin") * bin_size), F.least(F.col("end"), (F.col("__bin") + 1) * bin_size)).select(*columns, "__n", "__piece.s", "__piece.e")
+    each = Window.partitionBy(*columns, "__n").orderBy("s")
+    parts = parts.withColumn("__new", F.coalesce((F.col("s") > F.lag("e").over(each)).cast("int"), F.lit(1)))
+    parts = parts.withColumn("__part", F.sum("__new").over(each.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*columns, "__n", "__part").agg(F.min("s").alias("__s"), F.max("e").alias("__e"))
+    copies = parts.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    return short.unionByName(copies.withColumns({"start": F.col("__s"), "end": F.col("__e")}).select(*columns))
 
 
 def intervals(
@@ -140,8 +135,7 @@ def intervals(
     if padding:
         kept = padded(kept, padding)
     if merged:
-        # what is left of the tracks is written once: merging reads its input twice, for the rows and for the blocks' ends
-        kept = merge(checkpoint(kept), ["chrom"], merge_allow_gap)
+        kept = merge(kept, ["chrom"], merge_allow_gap)
     if blacklist is not None and (padding or merged):
         kept = subtract(kept, blacklist, blacklist_buffer)
     return kept

@@ -76,6 +76,16 @@ def test_subtract_covers_difference(spark):
     assert sorted(p for r in got for p in range(r.start, r.end)) == sorted(p for _, s, e, _ in left for p in range(s, e) if p not in holes)
 
 
+def test_subtract_of_long_and_repeated_intervals(spark, rows):
+    left = [("a", 0, 1000, 1.0), ("a", 0, 1000, 1.0), ("a", 5, 1000, None), ("a", 64, 128, 2.0), ("b", 0, 640, 1.0), (None, 0, 9, 1.0), ("a", 9, 9, 1.0)]
+    holes = frame(spark, [("a", 60, 70), ("a", 128, 256), ("a", 999, 1200), ("c", 0, 9), ("b", 0, 640)], "chrom string, start long, end long")
+    whole = [(0, 60), (70, 128), (256, 999)]
+    expected = [("a", *p, 1.0) for p in whole] * 2 + [("a", *p, None) for p in [(5, 60), *whole[1:]]] + [("a", 70, 128, 2.0)]
+    for bin_size in (16, 64, 1 << 12):
+        assert rows(algebra.subtract(frame(spark, left), holes, bin_size=bin_size)) == sorted(expected, key=repr)
+    assert algebra.subtract(frame(spark, left), holes.limit(0)).count() == 5 and algebra.subtract(frame(spark, []), holes).count() == 0
+
+
 def test_filters_and_padding(spark, rows):
     df = frame(spark, [("chr1", 3, 9, 1.0), ("chrX", 20, 30, 0.0), ("chrZ", 40, 50, -2.0)])
     assert [r[0] for r in rows(algebra.select_chromosomes(df, "standard"))] == ["chr1", "chrX"]
