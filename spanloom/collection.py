@@ -12,23 +12,36 @@ from pyspark.sql import functions as F
 from spanloom.functions.chrom import chrom_offsets, chrom_order, chrom_sizes, with_global_position
 from spanloom.operators import algebra
 from spanloom.operators.batch import queries_from
+from spanloom.operators.overlap import touched
 from spanloom.operators.values import dense, require_equal_lengths, value_arrays
+from spanloom.session import checkpoint
 from spanloom.sources import bigwig
 from spanloom.sources.paths import EXTENSIONS
 
 
+#: Bases of a tile of stored steps, and of a bin in which chunks of files are met.
+TILE = 1 << 20
+CHUNK_BIN = 1 << 17
+Q = {"start": "q_start", "end": "q_end"}
+
+
 class TrackCollection:
     """Tracks ``(track_id, chrom, start, end, value)`` with their dimension ``(track_id, path, stem, scale)``.
 
-    From files, or from DataFrames of steps, tracks and chromosomes (``track_id, chrom, chrom_size``, or without track).
+    From files (``open``), from steps stored by tiles (``store`` and ``stored``), or from DataFrames of steps, tracks
+    and chromosomes (``track_id, chrom, chrom_size``, or without track). ``repeats`` tells that a step may be there more
+    than once and counts once; values then drop repeats among what a query hits, without a shuffle of all steps.
+
+    Queries read what they touch: the chunks of files that overlap any of them, or the tiles that do.
     """
 
-    def __init__(self, spark: SparkSession, steps: DataFrame, tracks: DataFrame, chroms: DataFrame):
-        self.spark, self.steps, self.tracks, self.chroms = spark, steps, tracks, chroms
+    def __init__(self, spark: SparkSession, steps: DataFrame, tracks: DataFrame, chroms: DataFrame, repeats: bool = False, chunks: DataFrame | None = None, tile: int | None = None):
+        self.spark, self.steps, self.tracks, self.chroms, self.repeats = spark, steps, tracks, chroms, repeats
+        self._chunks, self._index, self._tile = chunks, None, tile
 
     @classmethod
     def open(cls, spark: SparkSession, path: Any, file_extensions: Sequence[str] = EXTENSIONS, crawl: bool = True, scale: Mapping[str, float] | None = None, first_n_files: int | None = None) -> TrackCollection:
-        """Files of a folder, a path or nested lists of paths; tracks are numbered in the order of their sorted paths."""
+        """Files of a folder, a path or URI, or nested lists of them; tracks are numbered in the order of their sorted paths."""
         bigwig.register(spark)
         paths = [path] if isinstance(path, str) else [str(p) for p in _flat(path)]
         options = {"paths": json.dumps(paths), "extensions": ",".join(file_extensions), "crawl": str(crawl).lower(), "scales": json.dumps(dict(scale or {}))}
@@ -36,7 +49,45 @@ class TrackCollection:
             options["first_n"] = str(first_n_files)
         load = lambda table: spark.read.format("bigwig").options(**options).option("table", table).load()
         stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
-        return cls(spark, load("steps"), load("files").select("track_id", "path", stem.alias("stem")), load("chroms"))
+        return cls(spark, load("steps"), load("files").select("track_id", "path", stem.alias("stem")), load("chroms"), chunks=load("chunks"))
+
+    def store(self, path: str, tile: int = TILE) -> None:
+        """Write the steps as Parquet, one folder a tile; steps that cross a tile's border are cut there.
+
+        Rows are spread by ranges of position, so a hot chromosome is many tasks and files are sorted by start.
+        """
+        cut = F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile)))
+        rows = self.steps.select("track_id", "chrom", "start", "end", "value").dropna(subset=["track_id", "chrom", "start", "end"]).where("end > start").withColumn("__t", cut)
+        rows = rows.withColumns({"start": F.greatest("start", F.col("__t") * tile), "end": F.least("end", (F.col("__t") + 1) * tile), "tile": F.concat_ws(":", "chrom", "__t")}).drop("__t")
+        rows.repartitionByRange("chrom", "start").sortWithinPartitions("tile", "start", "track_id").write.mode("overwrite").partitionBy("tile").parquet(path)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, tracks: DataFrame, chroms: DataFrame, tile: int = TILE, repeats: bool = False) -> TrackCollection:
+        """What ``store`` wrote with the same ``tile``."""
+        return cls(spark, spark.read.parquet(path), tracks, chroms, repeats, tile=tile)
+
+    def queries(self, queries: Any) -> DataFrame:
+        """Queries from a DataFrame, a mapping, or chromosomes, starts and ends."""
+        return queries_from(self.spark, queries)
+
+    def chunks_near(self, queries: DataFrame) -> DataFrame:
+        """Chunks of the files that any query touches. The table of all chunks is made once, by tasks, and written."""
+        if self._index is None:
+            self._index = checkpoint(self._chunks)
+        return touched(self._index, queries.select("chrom", *[F.col(c).alias(n) for c, n in Q.items()]), bin_size=CHUNK_BIN, once=True)
+
+    def steps_near(self, queries: DataFrame) -> DataFrame:
+        """The steps from which the queries can be answered: read by chunk or by tile; all steps of a collection without either.
+
+        The tiles that queries touch are listed on the driver; a genome has a few thousand.
+        """
+        if self._chunks is not None:
+            return bigwig.steps_of(self.chunks_near(queries))
+        if self._tile is not None:
+            tiles = F.explode(F.sequence(F.floor(F.col("start") / self._tile), F.floor((F.col("end") - 1) / self._tile)))
+            near = queries.where("end > start").select("chrom", tiles.alias("t")).select(F.concat_ws(":", "chrom", "t").alias("tile")).distinct()
+            return self.steps.where(F.col("tile").isin([r.tile for r in near.collect()])).drop("tile")
+        return self.steps
 
     @property
     def n_tracks(self) -> int:
@@ -49,18 +100,11 @@ class TrackCollection:
     def values(self, queries: Any, window_size: int = 1, default_value: float = 0.0, as_cube: bool = False) -> DataFrame:
         """Value arrays per query and track, or with ``as_cube`` one bins x tracks array per query.
 
-        Queries must have one length. The scan is narrowed to the stretch and chromosomes that the queries span, which
-        files and Parquet row groups are pruned by; these bounds are one small aggregate on the driver.
+        Queries must have one length.
         """
-        q = queries_from(self.spark, queries)
+        q = self.queries(queries)
         require_equal_lengths(q)
-        low, high, names = q.agg(F.min("start"), F.max("end"), F.slice(F.array_sort(F.collect_set("chrom")), 1, 200)).first()
-        steps = self.steps
-        if low is not None:
-            steps = steps.where((F.col("start") < int(high)) & (F.col("end") > int(low)))
-            if len(names) < 200:
-                steps = steps.where(F.col("chrom").isin(names))
-        arrays = value_arrays(q, self.tracks, steps, window_size, default_value)
+        arrays = value_arrays(q, self.tracks, self.steps_near(q), window_size, default_value, repeats=self.repeats)
         return dense(arrays) if as_cube else arrays
 
     def chromosomes(self, include: str | Sequence[str] = "all", exclude: str | Iterable[str] | None = None) -> DataFrame:

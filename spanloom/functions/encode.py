@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,13 @@ def bfloat16_of(values: np.ndarray) -> np.ndarray:
 def bfloat16_bits(values: Column) -> Column:
     """Array column of floats to bfloat16 bits, as Spark has no such type; null stays null, null cells are NaN."""
 
-    def bits(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: None if v is None else bfloat16_of(np.array([np.nan if x is None else x for x in v], np.float32)).astype(np.int32))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def bits(column: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        cells = bfloat16_of(column.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells), mask=column.is_null())
 
-    return F.pandas_udf(bits, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR)(values)
+    return bits(values)
 
 
 def check_bfloat16_default(default: float) -> None:

@@ -24,12 +24,12 @@ def carried(df: DataFrame, by: Sequence[str], block: str, total: Column, out: st
     return totals.select(*by, block, combine("__total").over(earlier).alias(out))
 
 
-def numbered(df: DataFrame, order: str, block_size: int = 1 << 16, out: str = "row_no") -> DataFrame:
-    """Add ``out``, the place (from 0) of each row in the order of the integer column ``order``; equal ones get any order.
+def numbered(df: DataFrame, order: str, block_size: int = 1 << 16, out: str = "row_no", ties: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``, the place (from 0) of each row in the order of the integer column ``order``; equal ones in that of ``ties``, else in any.
 
     Rows with null ``order`` come first. The window covers one block of ``block_size`` values of ``order``.
     """
     blocked = df.withColumn("__block", F.coalesce(F.floor(F.col(order) / block_size), F.lit(-(1 << 62))))
     before = carried(blocked, [], "__block", F.count(F.lit(1)), "__before")
-    inside = F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy("__block").orderBy(order, *ties)) - 1
     return blocked.withColumn("__inside", inside).join(before, "__block").withColumn(out, F.coalesce("__before", F.lit(0)) + F.col("__inside")).drop("__block", "__inside", "__before")

@@ -40,15 +40,19 @@ def overlap_join(queries: DataFrame, intervals: DataFrame, key: str = "chrom", q
     return met.where((F.col(i[0]) < F.col(q[1])) & (F.col(i[1]) > F.col(q[0])) & (F.col("__bin") == first)).drop("__bin")
 
 
-def touched(intervals: DataFrame, queries: DataFrame, key: str = "chrom", q: Sequence[str] = ("q_start", "q_end"), i: Sequence[str] = ("start", "end"), bin_size: int = BIN) -> DataFrame:
+def touched(intervals: DataFrame, queries: DataFrame, key: str = "chrom", q: Sequence[str] = ("q_start", "q_end"), i: Sequence[str] = ("start", "end"), bin_size: int = BIN, once: bool = False) -> DataFrame:
     """Intervals that overlap any query, each row once: the pruning of chunks by the queries to be answered.
 
-    Queries are merged to the distinct bins and stretches they cover by the semi-join itself.
+    Queries are merged to the distinct bins and stretches they cover by the semi-join itself. ``once`` tells that no
+    interval is repeated.
     """
-    here = _binned(intervals.withColumn("__id", F.struct(*intervals.columns)).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).select("__id.*", "__n"), *i, bin_size, "__bin")
+    if not once:
+        intervals = intervals.withColumn("__id", F.struct(*intervals.columns)).groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).select("__id.*", "__n")
+    here = _binned(intervals, *i, bin_size, "__bin")
     wanted = _binned(queries.select(key, *q).distinct(), *q, bin_size, "__bin").withColumnsRenamed({key: "__key", q[0]: "__qs", q[1]: "__qe", "__bin": "__qbin"})
     semi = here.join(wanted, (F.col(key) == F.col("__key")) & (F.col("__bin") == F.col("__qbin")) & (F.col(i[0]) < F.col("__qe")) & (F.col(i[1]) > F.col("__qs")), "left_semi")
-    return semi.drop("__bin").distinct().withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    semi = semi.drop("__bin").distinct()
+    return semi if once else semi.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
 
 
 def locate(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, bin_size: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.blocks import numbered
 from spanloom.operators.overlap import locate
 
 # Fixed values of a linear congruential step, applied twice.
@@ -44,18 +45,25 @@ def epoch_batches(regions: DataFrame, sequence_length: int, batch_size: int) ->
     return regions.agg(total.alias("total_length")).withColumn("batches", F.floor(F.floor(F.col("total_length") / sequence_length) / batch_size))
 
 
-def positions(spark: SparkSession, regions: DataFrame, n: int, seed: int = 0, first: int = 0) -> DataFrame:
+def positions(spark: SparkSession, regions: DataFrame, n: int, seed: int = 0, first: int = 0, repeat_same: int | None = None) -> DataFrame:
     """``(draw, chrom, center)``: ``n`` positions, each base of the regions equally likely, the same for the same seed.
 
-    Draws are numbered from ``first``, so a later range of numbers goes on where an earlier one ended.
+    Draws are numbered from ``first``, so a later range of numbers goes on where an earlier one ended. With
+    ``repeat_same`` the first so many positions come again and again.
     """
     index = cumulative_index(regions).select("chrom", "start", "cum_start", "cum_end")
     total = index.agg(F.max("cum_end").alias("t")).scalar()
-    draws = spark.range(first, first + n).select(F.col("id").alias("draw"), uniform(F.col("id"), total, seed).alias("r")).where("r is not null")
+    draws = spark.range(first, first + n).select(F.col("id").alias("draw"), uniform(F.pmod(F.col("id"), F.lit(repeat_same)) if repeat_same else F.col("id"), total, seed).alias("r")).where("r is not null")
     width = 1 << 16
     return locate(draws, index, "r", "cum_start", "cum_end", width).select("draw", "chrom", (F.col("start") + F.col("r") - F.col("cum_start")).alias("center"))
 
 
+def numbered_positions(positions: DataFrame) -> DataFrame:
+    """``(draw, chrom, center)`` of given positions, in an order that depends on nothing but them: that of a hash, cut into a million blocks."""
+    spread = positions.select("chrom", "center").withColumn("__o", F.shiftrightunsigned(F.xxhash64("chrom", "center"), 44))
+    return numbered(spread, "__o", 1, "draw", ["chrom", "center"]).select("draw", "chrom", "center")
+
+
 def track_subsets(batches: DataFrame, tracks: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """``(batch_id, track_ids)``: ``size`` different tracks for each batch, in order; all of them if there are fewer."""
     every = tracks.agg(F.array_sort(F.collect_set("track_id")).alias("ids")).scalar()

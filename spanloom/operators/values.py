@@ -4,7 +4,7 @@ The plan joins queries with steps first, spreads each overlap over the windows i
 sums are shuffled; the full grid of windows is made at the end, inside one array per (query, track), so uncovered
 windows cost no shuffle. Scales apply to data; the default is a constant of the output.
 
-Steps of one track must not overlap. Steps lacking a key, position or value are left out; a NaN value makes its window
+Steps of one track must not overlap, but may be repeated if ``repeats`` says so. Steps lacking a key, position or value are left out; a NaN value makes its window
 NaN. Window k of a query covers ``[start + k w, start + (k + 1) w)``; a last partial window is dropped. Bases
 beyond a chromosome's ends, and queries on unknown chromosomes, are uncovered. Repeated queries give repeated rows only
 if their ids differ: query_id identifies a query.
@@ -12,6 +12,10 @@ if their ids differ: query_id identifies a query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +43,12 @@ def chosen_tracks(queries: DataFrame, tracks: DataFrame) -> DataFrame:
     return queries.select(*[c for c in queries.columns if c != "track_ids"], F.posexplode(named).alias("track_no", "track_id"))
 
 
-def hits(queries: DataFrame, steps: DataFrame, bin_size: int = BIN) -> DataFrame:
+def hits(queries: DataFrame, steps: DataFrame, bin_size: int = BIN, repeats: bool = False) -> DataFrame:
     """``(query_id, track_id, q_start, n_bases, lo, hi, value)``: what of each step lies in each query, from the query's start.
 
     ``queries`` has query_id, chrom, start, end and maybe track_id to restrict it to some tracks. Rows are partitioned
-    by (query_id, track_id), so all that follows needs no further shuffle of them.
+    by (query_id, track_id), so all that follows needs no further shuffle of them. With ``repeats``, steps that are
+    there more than once are dropped here, among the few that are hit.
     """
     some = "track_id" in queries.columns
     q = queries.select("query_id", "chrom", F.col("start").alias("q_start"), F.col("end").alias("q_end"), *([F.col("track_id").alias("q_track")] if some else []))
@@ -55,13 +60,14 @@ def hits(queries: DataFrame, steps: DataFrame, bin_size: int = BIN) -> DataFrame
     if some:
         met = met.where(F.array_contains("q_tracks", F.col("track_id")))
     lo, hi = F.greatest("start", "q_start") - F.col("q_start"), F.least("end", "q_end") - F.col("q_start")
-    return met.select("query_id", "track_id", (F.col("q_end") - F.col("q_start")).alias("n_bases"), lo.alias("lo"), hi.alias("hi"), "value").repartition("query_id", "track_id")
+    found = met.select("query_id", "track_id", (F.col("q_end") - F.col("q_start")).alias("n_bases"), lo.alias("lo"), hi.alias("hi"), "value").repartition("query_id", "track_id")
+    return found.distinct() if repeats else found
 
 
-def window_sums(queries: DataFrame, steps: DataFrame, window_size: int, bin_size: int = BIN) -> DataFrame:
+def window_sums(queries: DataFrame, steps: DataFrame, window_size: int, bin_size: int = BIN, repeats: bool = False) -> DataFrame:
     """``(query_id, track_id, bin, total, covered)`` of the windows that any step touches."""
     w = F.lit(window_size)
-    cells = hits(queries, steps, bin_size).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / w), F.floor((F.col("hi") - 1) / w)))).where(F.col("bin") < F.floor(F.col("n_bases") / w))
+    cells = hits(queries, steps, bin_size, repeats).withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / w), F.floor((F.col("hi") - 1) / w)))).where(F.col("bin") < F.floor(F.col("n_bases") / w))
     n = F.least("hi", (F.col("bin") + 1) * w) - F.greatest("lo", F.col("bin") * w)
     return cells.groupBy("query_id", "track_id", "bin").agg(F.sum(F.col("value") * n).alias("total"), F.sum(n).alias("covered"))
 
@@ -84,7 +90,7 @@ def _filled(runs: Column, length: Column, default: float) -> Column:
     return F.concat(F.flatten(F.transform(runs, cells)), F.array_repeat(blank, (length - last).cast("int")))
 
 
-def value_arrays(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window_size: int = 1, default: float = 0.0, bin_size: int = BIN) -> DataFrame:
+def value_arrays(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window_size: int = 1, default: float = 0.0, bin_size: int = BIN, repeats: bool = False) -> DataFrame:
     """``(query_id, track_no, track_id, values)``: one array over all windows for each query and track.
 
     ``tracks`` lists the tracks there are; ``queries`` may name its own in ``track_ids``.
@@ -94,9 +100,9 @@ def value_arrays(queries: DataFrame, tracks: DataFrame, steps: DataFrame, window
     grid = chosen_tracks(queries, tracks).select("query_id", "chrom", "start", "end", "track_no", "track_id")
     asked = grid if "track_ids" in queries.columns else queries
     if window_size == 1:  # a step is a run of equal cells as it is
-        runs = hits(asked, steps, bin_size).select("query_id", "track_id", "lo", "hi", F.col("value").alias("v"))
+        runs = hits(asked, steps, bin_size, repeats).select("query_id", "track_id", "lo", "hi", F.col("value").alias("v"))
     else:
-        runs = window_sums(asked, steps, window_size, bin_size).select("query_id", "track_id", F.col("bin").alias("lo"), (F.col("bin") + 1).alias("hi"), _mean(window_size, default).alias("v"))
+        runs = window_sums(asked, steps, window_size, bin_size, repeats).select("query_id", "track_id", F.col("bin").alias("lo"), (F.col("bin") + 1).alias("hi"), _mean(window_size, default).alias("v"))
     per_track = runs.groupBy("query_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "v"))).alias("runs"))
     joined = grid.join(per_track, ["query_id", "track_id"], "left")
     length = F.greatest(F.floor((F.col("end") - F.col("start")) / window_size), F.lit(0))
@@ -130,15 +136,26 @@ def smoothed(arrays: DataFrame, window_size: int) -> DataFrame:
     if window_size == 1:
         return arrays
     back, ahead = window_size // 2, (window_size - 1) // 2
-    n = F.size("values")
-
-    def mean(_, k: Column) -> Column:
-        first = F.greatest(k - back, F.lit(0))
-        part = F.slice("values", first + 1, F.least(k + ahead, n - 1) - first + 1)
-        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / window_size
-
-    fits = F.assert_true(n >= window_size, F.lit("the window is wider than the values"))
-    return arrays.withColumn("values", F.when(fits.isNull(), F.transform("values", mean)))
+    schema = arrays.schema
+    place = arrays.columns.index("values")
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(place)
+            n = np.diff(lines.offsets.to_numpy())
+            if (n < window_size).any():
+                raise ValueError("the window is wider than the values")
+            flat = lines.flatten().to_numpy(zero_copy_only=False)
+            out = np.empty(len(flat))
+            for length in np.unique(n):  # lines of one length are the rows of a matrix
+                at = np.flatnonzero(np.repeat(n, n) == length)
+                rows = np.pad(flat[at].reshape(-1, length), ((0, 0), (back, ahead)))
+                out[at] = (np.lib.stride_tricks.sliding_window_view(rows, window_size, 1).sum(2) / window_size).ravel()
+            columns = batch.columns
+            columns[place] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return arrays.mapInArrow(means, schema)
 
 
 def check_steps(steps: DataFrame) -> DataFrame:

@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.collection import TrackCollection
+from spanloom.export import distinct_stems, read_tsv, write_tsv
 from spanloom.functions import chrom, sequence
-from spanloom.functions.encode import bfloat16_bits
+from spanloom.functions.encode import bfloat16_bits, encoded, register_encoder
 from spanloom.operators import algebra, batch, overlap, sample
 from spanloom.operators import values as val
 from spanloom.plans import tables
 from spanloom.session import new_folder, table
 from spanloom.sources import bigwig, fasta
 from spanloom.sources.bigwig_writer import write_tracks
-from spanloom.sources.paths import tracks_with_scale
+from spanloom.sources.paths import find_files, tracks_with_scale
 from spanloom.streaming import queries as stream
 from spanloom.training import training_table
 
 KEYS = [("liver", 2.0), ("old/liver", 3.0), ("TRK700013", 7.0), ("kidney/accx", 5.0), ("Nerve", 4.0), ("signal", 1.5), ("colon/TRK700143.bigWig", 9.0)]
 WINDOW, BATCH, DRAWS, SEQUENCE, PIECE = 128, 256, 5000, 400, 256
 # The invented genome: chunks of repeated units, half of them soft-masked or unknown, so that most sequences are rejected.
+ZOOM, SAME, GIVEN_BATCHES = 10_000, 700, 40_000
 GENOME_CHUNK, UNITS, EPOCH_LENGTH, EPOCH_CROP = 1024, ("ACGT", "GATTACA", "CCGGTTAA", "TGCA", "acgt", "gattaca", "N", "NN"), 1000, 512
 
 
@@ -33,10 +35,6 @@ def _r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-def _rounded(column: str):
-    return F.transform(column, lambda x: F.round(x, 6))
-
-
 def track_scan(s: SparkSession, d: str) -> DataFrame:
     return tables.steps(s, d)
 
@@ -168,9 +166,9 @@ def overlapping_steps(s: SparkSession, d: str) -> DataFrame:
 
 
 def _arrays(s: SparkSession, d: str, window: int, default: float, scaled: bool = False) -> DataFrame:
-    steps = tables.steps(s, d)
+    steps = tables.repeated_steps(s, d)
     steps = algebra.scaled(steps, tables.tracks(s, d)) if scaled else steps
-    return val.value_arrays(tables.queries(s, d), tables.tracks(s, d), steps, window, default)
+    return val.value_arrays(tables.queries(s, d), tables.tracks(s, d), steps, window, default, repeats=True)
 
 
 def _long(arrays: DataFrame) -> DataFrame:
@@ -180,7 +178,7 @@ def _long(arrays: DataFrame) -> DataFrame:
 
 def values_per_base(s: SparkSession, d: str) -> DataFrame:
     """One array per query and track of its own list: the value at each base."""
-    return _arrays(s, d, 1, 0.0).select("query_id", "track_id", _rounded("values").alias("values"))
+    return _arrays(s, d, 1, 0.0).select("query_id", "track_id", "values")
 
 
 def window_mean_default0(s: SparkSession, d: str) -> DataFrame:
@@ -219,11 +217,24 @@ def chrom_sort(s: SparkSession, d: str) -> DataFrame:
 
 
 def sort_intervals(s: SparkSession, d: str) -> DataFrame:
-    return tables.regions(s, d).orderBy(*chrom.chrom_order(F.col("chrom")), "start", "end", "interval_id")
+    """Intervals in order, each with the chromosome, start and number of the one before it in the result.
+
+    Which one that is comes from where a row stands: rows are numbered in each sorted partition, and the last row of
+    each meets the first of the next one.
+    """
+    rows = tables.regions(s, d).orderBy(*chrom.chrom_order(F.col("chrom")), "start", "end", "interval_id")
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    part = F.shiftright("place", 33)
+    inside = Window.partitionBy(part).orderBy("place")
+    placed = placed.withColumn("before", F.lag("interval_id").over(inside)).withColumn("part", part)
+    last = placed.groupBy("part").agg(F.max_by("interval_id", "place").alias("last"))
+    border = last.select(F.lead("part").over(Window.orderBy("part")).alias("next"), "last")
+    met = placed.join(border, F.col("part") == F.col("next"), "left")
+    return met.select("interval_id", "chrom", "start", "end", F.coalesce("before", "last").alias("before"))
 
 
 def _collection(s: SparkSession, d: str) -> TrackCollection:
-    return TrackCollection(s, tables.steps(s, d), tables.tracks(s, d), tables.track_chroms(s, d))
+    return TrackCollection(s, tables.repeated_steps(s, d), tables.tracks(s, d), tables.track_chroms(s, d), repeats=True)
 
 
 def chrom_union_labels(s: SparkSession, d: str) -> DataFrame:
@@ -334,9 +345,9 @@ def query_batches_epoch(s: SparkSession, d: str) -> DataFrame:
     return _query_batches(s, d, int(epoch_batches(s, d).first()["batches"]) * BATCH)
 
 
-def invented_genome(s: SparkSession, d: str, length: int) -> DataFrame:
-    """``(chrom, chunk, letters)`` of the chunks that sequences of ``length`` around the regions' bases touch."""
-    reach = tables.regions(s, d).select("chrom", F.greatest(F.floor((F.col("start") - length) / GENOME_CHUNK), F.lit(0)).alias("a"), F.floor((F.col("end") + length) / GENOME_CHUNK).alias("b"))
+def invented_genome(s: SparkSession, d: str, places: DataFrame, length: int) -> DataFrame:
+    """``(chrom, chunk, letters)`` of the chunks that sequences of ``length`` around the bases of places touch."""
+    reach = places.select("chrom", F.greatest(F.floor((F.col("start") - length) / GENOME_CHUNK), F.lit(0)).alias("a"), F.floor((F.col("end") + length) / GENOME_CHUNK).alias("b"))
     chunks = reach.select("chrom", F.explode(F.sequence("a", "b")).alias("chunk")).distinct().join(table(s, d, "chroms").select("chrom", "chrom_rank", "chrom_size"), "chrom")
     unit = F.element_at(F.array(*[F.lit(u * GENOME_CHUNK) for u in UNITS]), (F.pmod(sample.mixed(F.col("chrom_rank") * 1_000_003 + F.col("chunk"), 7), F.lit(len(UNITS))) + 1).cast("int"))
     n = F.least(F.lit(GENOME_CHUNK), F.col("chrom_size") - F.col("chunk") * GENOME_CHUNK).cast("int")
@@ -345,18 +356,152 @@ def invented_genome(s: SparkSession, d: str, length: int) -> DataFrame:
 
 def training_epoch(s: SparkSession, d: str) -> DataFrame:
     """A whole epoch of the training pipeline: positions, sequences, tracks of each batch and their windowed means, flattened."""
-    parts = _collection(s, d), tables.regions(s, d), invented_genome(s, d, EPOCH_LENGTH)
+    regions = tables.regions(s, d)
+    parts = _collection(s, d), regions, invented_genome(s, d, regions, EPOCH_LENGTH)
     rows = training_table(*parts, GENOME_CHUNK, EPOCH_LENGTH, EPOCH_CROP, WINDOW, batch_size=BATCH, sequence_encoder=None, sub_sample_tracks=3, seed=3)
     return rows.withColumn("values", F.transform(F.flatten("values"), lambda x: F.round(x.cast("double"), 3)))
 
 
+def training_epoch_given(s: SparkSession, d: str) -> DataFrame:
+    """The pipeline over given positions, as numbered there, and given tracks for each batch; those of short or unknown sequences go."""
+    given = tables.positions(s, d).withColumnRenamed("position_id", "draw")
+    reach = given.select("chrom", F.col("center").alias("start"), (F.col("center") + 1).alias("end"))
+    batches = s.range(GIVEN_BATCHES).select(F.col("id").alias("batch_id"), F.array(F.pmod("id", F.lit(3)), F.pmod("id", F.lit(3)) + 3).cast("array<int>").alias("track_ids"))
+    rows = training_table(
+        _collection(s, d), tables.regions(s, d), invented_genome(s, d, reach, EPOCH_LENGTH), GENOME_CHUNK, EPOCH_LENGTH, EPOCH_CROP, WINDOW, batch_size=BATCH, batches_per_epoch=GIVEN_BATCHES,
+        sequence_encoder=None, positions=given, track_subsets=batches,
+    )
+    return rows.drop("sequence").withColumn("values", F.transform(F.flatten("values"), lambda x: F.round(x.cast("double"), 3)))
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def _files(s: SparkSession, d: str) -> str:
+    """A folder with the steps of each track in a file of its own, written once a session."""
+    key = s.sparkContext.applicationId, d
+    if key not in _written:
+        sizes = {r.chrom: r.chrom_size for r in table(s, d, "chroms").select("chrom", "chrom_size").collect()}
+        folder = new_folder(s, "tracks")
+        write_tracks(tables.steps(s, d), sizes, folder, zooms=(ZOOM,)).collect()
+        _written[key] = folder
+    return _written[key]
+
+
+def _file_table(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table about the files; tracks by the number in their file's name."""
+    bigwig.register(s)
+    path = s.read.format("bigwig").option("table", "files").load(_files(s, d)).select("track_id", F.regexp_extract("path", r"track_(\d+)", 1).cast("int").alias("__t"))
+    return s.read.format("bigwig").option("table", name).load(_files(s, d)).join(path, "track_id").drop("track_id").withColumnRenamed("__t", "track_id")
+
+
+def file_headers(s: SparkSession, d: str) -> DataFrame:
+    """Version, number of zoom levels and summary in each file's header."""
+    return _file_table(s, d, "files").select("track_id", "version", "zoom_levels", "bases_covered", "min_value", "max_value", _r("sum_values", 2).alias("sum_values"))
+
+
+def file_chroms(s: SparkSession, d: str) -> DataFrame:
+    return _file_table(s, d, "chroms").select("track_id", "chrom", "chrom_size")
+
+
+def file_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The stretch that the chunks of each track and chromosome cover, and whether they follow one another."""
+    earlier = Window.partitionBy("track_id", "chrom").orderBy("data_offset").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = _file_table(s, d, "chunks").withColumn("follows", F.coalesce(F.max("end").over(earlier) <= F.col("start"), F.lit(True)))
+    return chunks.groupBy("track_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.every("follows").alias("in_order"))
+
+
+def file_zooms(s: SparkSession, d: str) -> DataFrame:
+    """Cells of the zoom level stored in the files."""
+    cells = _file_table(s, d, "zoom_records").where(F.col("level") == ZOOM)
+    return cells.select("track_id", "chrom", F.floor(F.col("start") / ZOOM).alias("cell"), "valid_count", "min_value", "max_value")
+
+
+def file_zoom_levels(s: SparkSession, d: str) -> DataFrame:
+    return _file_table(s, d, "zooms").select("track_id", "level")
+
+
+def found_files(s: SparkSession, d: str) -> DataFrame:
+    """Files found in a folder, by name."""
+    return s.createDataFrame([(p.rsplit("/", 1)[1],) for p in find_files(_files(s, d))], "name string")
+
+
+def file_collection(s: SparkSession, d: str) -> TrackCollection:
+    """The files as a collection whose tracks have the numbers in their names."""
+    return TrackCollection.open(s, _files(s, d))
+
+
+def values_from_files(s: SparkSession, d: str) -> DataFrame:
+    """The value at each base of each query, from the chunks of the files that queries touch."""
+    return file_collection(s, d).values(tables.queries(s, d)).select("query_id", "track_id", "values")
+
+
+def values_from_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Windowed means from steps stored by tiles, of which those that queries touch are read."""
+    folder, whole = new_folder(s, "tiles"), TrackCollection(s, tables.steps(s, d), tables.tracks(s, d), tables.track_chroms(s, d))
+    whole.store(folder)
+    return _long(TrackCollection.stored(s, folder, whole.tracks, whole.chroms).values(tables.queries(s, d), WINDOW))
+
+
+def tsv_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Regions written as tab-separated text and read again."""
+    folder = f"{new_folder(s, 'tsv')}/regions"
+    write_tsv(tables.regions(s, d), folder)
+    return read_tsv(s, folder, "interval_id long, chrom string, start long, end long")
+
+
+def onehot_lenient(s: SparkSession, d: str) -> DataFrame:
+    """Weight of each base over a text taken as it is, with zeros for letters that are no base, lower-case ones included."""
+    hot = table(s, d, "documents").where(F.length("text") > 0).select("doc_id", sequence.one_hot(F.col("text"), strict=False).alias("h"))
+
+    def total(i: int):
+        return _r(F.aggregate("h", F.lit(0.0), lambda a, x: a + x[i]), 3)
+
+    return hot.select("doc_id", *[total(i).alias(b) for i, b in enumerate("acgt")])
+
+
+def letter_places(s: SparkSession, d: str) -> DataFrame:
+    """How often each place of the alphabet occurs in the sequences."""
+    letters = tables.sequences(s, d).select(F.explode(F.split("sequence", "")).alias("letter"))
+    return letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).select(sequence.letter_index(F.col("letter")).alias("place"), "n")
+
+
+def whole_sequences(s: SparkSession, d: str) -> DataFrame:
+    """Tiles of texts that are whole and known well enough; the shorter last ones go."""
+    return sequence.known_enough(sequence_tiles(s, d), SEQUENCE, 0.915).select("chrom", "start", "end")
+
+
+def registered_encoder(s: SparkSession, d: str) -> DataFrame:
+    """Sequences encoded by a function of that name."""
+    register_encoder("backwards", F.reverse)
+    return encoded(tables.sequences(s, d), "backwards")
+
+
+def queries_from_mapping(s: SparkSession, d: str) -> DataFrame:
+    """Queries made of lists of chromosomes, starts and ends."""
+    rows = table(s, d, "chroms").orderBy("chrom_rank").collect()
+    return batch.queries_from(s, {"chromosomes": [r.chrom for r in rows], "starts": [5 for _ in rows], "ends": [r.chrom_size // 2 for r in rows]})
+
+
+def query_length(s: SparkSession, d: str) -> DataFrame:
+    """The one length that all queries have."""
+    return s.createDataFrame([(val.require_equal_lengths(tables.queries(s, d)),)], "length long")
+
+
+def repeat_same_positions(s: SparkSession, d: str) -> DataFrame:
+    """The same positions drawn again and again."""
+    return sample.positions(s, tables.regions(s, d), DRAWS, 3, repeat_same=SAME)
+
+
+def ambiguous_stems(s: SparkSession, d: str) -> DataFrame:
+    """Names of tracks, without folder and suffix, that several have."""
+    return distinct_stems(tables.tracks(s, d))
+
+
 def bigwig_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Steps written to one file per track and read again."""
     bigwig.register(s)
-    sizes = {r.chrom: r.chrom_size for r in table(s, d, "chroms").select("chrom", "chrom_size").collect()}
-    folder = new_folder(s, "tracks")
-    write_tracks(tables.steps(s, d), sizes, folder).collect()
-    return s.read.format("bigwig").load(folder).withColumn("value", F.col("value").cast("double"))
+    return s.read.format("bigwig").load(_files(s, d)).withColumn("value", F.col("value").cast("double"))
 
 
 def fasta_scan(s: SparkSession, d: str) -> DataFrame:
@@ -370,7 +515,7 @@ def fasta_scan(s: SparkSession, d: str) -> DataFrame:
 def stream_query_batches(s: SparkSession, d: str) -> DataFrame:
     """Windowed means of the queries, answered in micro-batches."""
     out, state = new_folder(s, "answers"), new_folder(s, "state")
-    stream.answer(stream.read_queries(s, f"{d}/stream_queries.parquet"), tables.tracks(s, d), tables.steps(s, d), out, state, WINDOW).awaitTermination()
+    stream.answer(stream.read_queries(s, f"{d}/stream_queries.parquet"), _collection(s, d), out, state, WINDOW).awaitTermination()
     rows = stream.answers(s, out).select("batch_id", "query_id", "track_id", F.posexplode("values").alias("bin", "v"))
     return rows.select("batch_id", "query_id", "track_id", "bin", _r("v").alias("value"))
 
@@ -460,12 +605,25 @@ def _chunk(at: str) -> str:
 
 def _training_epoch() -> str:
     """Draws 64 numbers for each sequence needed, far more than are rejected; takes the first that can be used."""
-    half, crop, bins = EPOCH_LENGTH // 2, EPOCH_CROP // 2, EPOCH_CROP // WINDOW
+    half = EPOCH_LENGTH // 2
     pick = f"(SELECT list(t ORDER BY t) FROM (SELECT track_id AS t FROM tracks ORDER BY {_mixed('track_id * 7919 + b.batch_id * 104729', 3)}, track_id LIMIT 3))"
     return f"""WITH {_STEPS}, {_CUM}, ep AS (SELECT CAST(sum("end" - start) AS BIGINT) // {EPOCH_LENGTH} // {BATCH} * {BATCH} AS need, CAST(sum("end" - start) AS BIGINT) AS total FROM r),
 di AS (SELECT unnest(range(need * 64)) AS i, total FROM ep), dr AS (SELECT i AS draw, ({_mixed("i", 3)} * {sample.MODULUS} + {_mixed(f"i + {sample.SECOND}", 4)}) % total AS rr FROM di),
 dp AS (SELECT draw, cx.chrom, start + rr - cum_start AS center, chrom_rank, chrom_size, start + rr - cum_start - {half} AS a FROM dr JOIN cx ON rr >= cum_start AND rr < cum_end JOIN chroms ON cx.chrom = chroms.chrom),
-ds AS (SELECT draw, chrom, center, substr({_chunk(f"a // {GENOME_CHUNK}")} || {_chunk(f"a // {GENOME_CHUNK} + 1")}, a % {GENOME_CHUNK} + 1, {EPOCH_LENGTH}) AS sequence FROM dp WHERE a >= 0),
+{_epoch_values(pick)}"""
+
+
+def _training_epoch_given() -> str:
+    """Positions as they are numbered; tracks of a batch by its number."""
+    return f"""WITH {_STEPS}, {_POSITIONS}, ep AS (SELECT {GIVEN_BATCHES * BATCH} AS need),
+dp AS (SELECT position_id AS draw, p.chrom, center, chrom_rank, chrom_size, center - {EPOCH_LENGTH // 2} AS a FROM p JOIN chroms ON p.chrom = chroms.chrom),
+{_epoch_values("CAST([b.batch_id % 3, b.batch_id % 3 + 3] AS INTEGER[])").replace(", sequence, track_ids, list(", ", track_ids, list(")}"""
+
+
+def _epoch_values(pick: str) -> str:
+    """From drawn positions with the start of their sequences: those that can be used, in batches, with their tracks' values."""
+    crop, bins = EPOCH_CROP // 2, EPOCH_CROP // WINDOW
+    return f"""ds AS (SELECT draw, chrom, center, substr({_chunk(f"a // {GENOME_CHUNK}")} || {_chunk(f"a // {GENOME_CHUNK} + 1")}, a % {GENOME_CHUNK} + 1, {EPOCH_LENGTH}) AS sequence FROM dp WHERE a >= 0),
 dk AS (SELECT *, row_number() OVER (ORDER BY draw) - 1 AS n FROM ds WHERE length(sequence) = {EPOCH_LENGTH} AND length(regexp_replace(sequence, '[ACGT]', '', 'g')) <= 0.1 * {EPOCH_LENGTH}),
 w AS (SELECT *, n // {BATCH} AS batch_id FROM dk WHERE n < (SELECT need FROM ep)), b AS (SELECT DISTINCT batch_id FROM w), pk AS (SELECT batch_id, {pick} AS track_ids FROM b),
 qt AS (SELECT w.*, track_ids, unnest(track_ids) AS track_id FROM w JOIN pk ON w.batch_id = pk.batch_id), grid AS (SELECT *, unnest(range({bins})) AS bin FROM qt),
@@ -518,7 +676,7 @@ SELECT track_id, chrom, cell, CAST(sum(n) AS BIGINT) AS valid_count, min(value)
         "segment_starts": f"WITH {_STEPS}, z AS (SELECT track_id, count(*) AS size FROM s GROUP BY track_id) SELECT track_id, size, CAST(coalesce(sum(size) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM z",
         "overlapping_steps": f"""WITH {_STEPS}, u AS (SELECT DISTINCT track_id, chrom, start, "end" FROM s) SELECT DISTINCT b.track_id, b.chrom, b.start, b."end" FROM u a JOIN u b
 ON a.track_id = b.track_id AND a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND (b.start > a.start OR (b.start = a.start AND b."end" > a."end"))""",
-        "values_per_base": f"{_windows(1)} SELECT query_id, track_id, list(round(total, 6) ORDER BY bin) AS values FROM c GROUP BY ALL",
+        "values_per_base": f"{_windows(1)} SELECT query_id, track_id, list(total ORDER BY bin) AS values FROM c GROUP BY ALL",
         "window_mean_default0": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(0.0)} AS value FROM c",
         "window_mean_default_const": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(2.5)} AS value FROM c",
         "window_nanmean": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, CASE WHEN covered > 0 THEN round(total / covered, 6) END AS value FROM c",
@@ -528,7 +686,7 @@ SELECT c.query_id, list({_mean(0.0)} ORDER BY bin, k) AS values FROM c JOIN o ON
         "moving_average_odd": _smooth(1, 1).replace("track_id, bin, round(sum", "track_id, CAST(bin AS INTEGER) AS bin, round(sum"),
         "moving_average_even": _smooth(2, 1).replace("track_id, bin, round(sum", "track_id, CAST(bin AS INTEGER) AS bin, round(sum"),
         "chrom_sort": "SELECT chrom, chrom_rank AS place FROM chroms",
-        "sort_intervals": f"WITH {_REGIONS} SELECT interval_id, chrom, start, \"end\" FROM r",
+        "sort_intervals": f"""WITH {_REGIONS} SELECT interval_id, r.chrom, start, "end", lag(interval_id) OVER (ORDER BY chrom_rank, start, "end", interval_id) AS before FROM r JOIN chroms ON r.chrom = chroms.chrom""",
         "chrom_union_labels": "SELECT DISTINCT concat(i.chrom, '_', t.stem) AS label FROM track_intervals i JOIN tracks t ON i.track_id = t.track_id JOIN chroms c ON i.chrom = c.chrom WHERE i.chrom <> 'chrM'",
         "chrom_in_all_tracks": "SELECT i.chrom FROM track_intervals i JOIN chroms c ON i.chrom = c.chrom GROUP BY i.chrom HAVING count(DISTINCT track_id) = (SELECT count(DISTINCT track_id) FROM tracks)",
         "cumulative_region_index": f"WITH {_CUM} SELECT * FROM cx",
@@ -560,6 +718,29 @@ SELECT w.batch_id, query_id, chrom, start, "end", track_ids FROM w JOIN pk ON w.
         "sequence_tiles": f"""WITH {_SEQ}, k AS (SELECT *, unnest(range((length(sequence) - 1) // {SEQUENCE} + 1)) AS tile FROM q)
 SELECT CAST(doc_id AS VARCHAR) AS chrom, tile * {SEQUENCE} AS start, (tile + 1) * {SEQUENCE} AS "end", substr(sequence, tile * {SEQUENCE} + 1, {SEQUENCE}) AS sequence FROM k""",
         "training_epoch": _training_epoch(),
+        "training_epoch_given": _training_epoch_given(),
+        "values_from_files": f"{_windows(1)} SELECT query_id, track_id, list(total ORDER BY bin) AS values FROM c GROUP BY ALL",
+        "values_from_tiles": f"{_windows(WINDOW)} SELECT query_id, track_id, CAST(bin AS INTEGER) AS bin, {_mean(0.0)} AS value FROM c",
+        "file_headers": f"""WITH {_STEPS} SELECT track_id, 4 AS version, 1 AS zoom_levels, CAST(sum("end" - start) AS BIGINT) AS bases_covered, min(value) AS min_value, max(value) AS max_value,
+round(sum(value * ("end" - start)), 2) AS sum_values FROM s GROUP BY track_id""",
+        "file_chroms": f"WITH {_STEPS} SELECT track_id, chrom, chrom_size FROM (SELECT DISTINCT track_id FROM s), chroms",
+        "file_chunks": f"""WITH {_STEPS} SELECT track_id, chrom, min(start) AS start, max("end") AS "end", true AS in_order FROM s GROUP BY track_id, chrom""",
+        "file_zooms": f"""WITH {_STEPS}, z AS (SELECT *, unnest(range(start // {ZOOM}, ("end" - 1) // {ZOOM} + 1)) AS cell FROM s)
+SELECT track_id, chrom, cell, CAST(sum(least("end", (cell + 1) * {ZOOM}) - greatest(start, cell * {ZOOM})) AS BIGINT) AS valid_count, min(value) AS min_value, max(value) AS max_value FROM z GROUP BY ALL""",
+        "file_zoom_levels": f"WITH {_STEPS} SELECT DISTINCT track_id, CAST({ZOOM} AS BIGINT) AS level FROM s",
+        "found_files": f"WITH {_STEPS} SELECT DISTINCT printf('track_%05d.bw', track_id) AS name FROM s",
+        "tsv_roundtrip": f'WITH {_REGIONS} SELECT interval_id, chrom, start, "end" FROM r',
+        "onehot_lenient": "WITH l AS (SELECT doc_id, text AS sequence, length(text) AS n FROM documents WHERE length(text) > 0) SELECT doc_id, " + ", ".join(f"CAST(round({e}, 3) AS DOUBLE) AS {b}" for b, e in iupac.items()) + " FROM l",
+        "letter_places": f"WITH {_SEQ}, l AS (SELECT unnest(string_split(sequence, '')) AS x FROM q) SELECT CAST(ascii(x) - 65 AS INTEGER) AS place, count(*) AS n FROM l GROUP BY x",
+        "whole_sequences": f"""WITH {_SEQ}, k AS (SELECT *, unnest(range(length(sequence) // {SEQUENCE})) AS tile FROM q), t AS (SELECT doc_id, tile, substr(sequence, tile * {SEQUENCE} + 1, {SEQUENCE}) AS x FROM k)
+SELECT CAST(doc_id AS VARCHAR) AS chrom, tile * {SEQUENCE} AS start, (tile + 1) * {SEQUENCE} AS "end" FROM t WHERE length(regexp_replace(x, '[ACGT]', '', 'g')) / {SEQUENCE} <= 0.915""",
+        "registered_encoder": f"WITH {_SEQ} SELECT doc_id, reverse(sequence) AS sequence FROM q",
+        "queries_from_mapping": 'SELECT CAST(chrom_rank - (SELECT min(chrom_rank) FROM chroms) AS BIGINT) AS query_id, chrom, CAST(5 AS BIGINT) AS start, chrom_size // 2 AS "end" FROM chroms',
+        "query_length": 'SELECT max("end" - start) AS length FROM stream_queries',
+        "repeat_same_positions": f"WITH {_DRAWN.replace('SELECT i AS draw', 'SELECT j AS draw').replace(f'FROM range({DRAWS}) t(i)', f'FROM (SELECT j, j % {SAME} AS i FROM range({DRAWS}) t(j))')} SELECT * FROM dp",
+        "ambiguous_stems": "SELECT stem, count(*) AS n FROM tracks GROUP BY stem HAVING count(*) > 1",
+        "bfloat16_bits_of_values": f"""WITH {_STEPS}, b AS (SELECT track_id, chrom, start, CAST(CAST(CAST(CAST(value AS FLOAT) AS BIT) AS UINTEGER) AS BIGINT) AS x FROM s)
+SELECT track_id, chrom, start, CAST((x + 32767 + (x // 65536) % 2) // 65536 AS INTEGER) AS bits FROM b""",
     }
 
 
@@ -570,6 +751,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_cross_track, subtract_blacklist, subtract_blacklist_buffer, intervals_pipeline, track_summary, zoom_summary, segment_starts, overlapping_steps, values_per_base, window_mean_default0, window_mean_default_const,
         window_nanmean, window_mean_scaled, dense_batch_array, moving_average_odd, moving_average_even, chrom_sort, sort_intervals, chrom_union_labels, chrom_in_all_tracks,
         cumulative_region_index, epoch_batches, batch_assignment_drop_remainder, super_batch_slices, epoch_limit, query_slice, track_subset_ordered, unknown_base_fraction,
-        filter_unknown_bases, sequence_slice, sequence_tiles, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, query_batches_epoch, training_epoch, bigwig_roundtrip, fasta_scan, stream_query_batches, late_queries,
+        filter_unknown_bases, sequence_slice, sequence_tiles, onehot_iupac, bfloat16_bits_of_values, sample_positions_hash, sample_tracks_hash, query_batches, query_batches_epoch, training_epoch, training_epoch_given, bigwig_roundtrip, values_from_files, values_from_tiles, file_headers, file_chroms, file_chunks, file_zooms, file_zoom_levels, found_files,
+        tsv_roundtrip, onehot_lenient, letter_places, whole_sequences, registered_encoder, queries_from_mapping, query_length, repeat_same_positions, ambiguous_stems, fasta_scan, stream_query_batches, late_queries,
     ]
     return {f.__name__: f for f in found}

@@ -12,11 +12,20 @@ from spanloom.session import table
 STEP = ["track_id", "chrom", "start", "end", "value", "run_day"]
 
 
+def sent_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Complete steps of all tracks as they were sent, some of them twice."""
+    known = " and ".join(f"`{c}` is not null" for c in STEP)  # in this form it reaches the scan
+    return table(spark, folder, "track_intervals").select(*STEP).where(known).where(~F.isnan("value") & (F.col("end") > F.col("start")))
+
+
 def steps(spark: SparkSession, folder: str) -> DataFrame:
     """Steps of all tracks, each once: rows sent twice are told by all columns but loaded_at; incomplete rows are left out."""
-    known = " and ".join(f"`{c}` is not null" for c in STEP)  # in this form it reaches the scan
-    rows = table(spark, folder, "track_intervals").select(*STEP).where(known).where(~F.isnan("value") & (F.col("end") > F.col("start")))
-    return rows.distinct().select("track_id", "chrom", "start", "end", F.col("value").cast("double").alias("value"))
+    return sent_steps(spark, folder).distinct().select("track_id", "chrom", "start", "end", F.col("value").cast("double").alias("value"))
+
+
+def repeated_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with its repeats, for operators that drop them among what they hit."""
+    return sent_steps(spark, folder).select("track_id", "chrom", "start", "end", F.col("value").cast("double").alias("value"))
 
 
 def tracks(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Query batches as a stream: each micro-batch of queries is answered against the static tracks.
 
-The static side is planned anew for each micro-batch, so no state is kept and late queries are answered like any others.
+Each micro-batch reads of the tracks what its queries touch, chunks of files or stored tiles; no state is kept and late
+queries are answered like any others.
 Back-pressure is the source's limit on files or rows per trigger. Each micro-batch is written under its own number and
 replaced when it is run again, so a restart after a failure leaves every result once.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanloom.collection import TrackCollection
 from spanloom.operators.values import value_arrays
 
 NUMBER = "micro_batch"
@@ -27,17 +29,21 @@ def read_queries(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return reader.parquet(path)
 
 
-def answer(queries: DataFrame, tracks: DataFrame, steps: DataFrame, out: str, checkpoint: str, window_size: int = 1, default: float = 0.0, available_now: bool = True) -> StreamingQuery:
+def answer(queries: DataFrame, collection: TrackCollection, out: str, checkpoint: str, window_size: int = 1, default: float = 0.0, available_now: bool = True) -> StreamingQuery:
     """Start writing ``value_arrays`` of a stream of queries, with their batch_id, below ``out``.
 
-    With ``available_now`` the stream ends when it has answered what is there; ``stop()`` ends it at any time.
+    With ``available_now`` the stream ends when it has answered what is there; ``stop()`` ends it at any time, and it
+    may be started again. A micro-batch is kept while it is answered, as it is read several times.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        valid = batch.dropna(subset=["query_id", "chrom", "start", "end"])
-        arrays = value_arrays(valid, tracks, steps, window_size, default)
-        named = arrays.join(valid.select("query_id", "batch_id"), "query_id")
-        named.write.mode("overwrite").parquet(f"{out}/{NUMBER}={number}")
+        valid = batch.dropna(subset=["query_id", "chrom", "start", "end"]).persist()
+        try:
+            arrays = value_arrays(valid, collection.tracks, collection.steps_near(valid), window_size, default, repeats=collection.repeats)
+            named = arrays.join(valid.select("query_id", "batch_id"), "query_id")
+            named.write.mode("overwrite").parquet(f"{out}/{NUMBER}={number}")
+        finally:
+            valid.unpersist()
 
     writer = queries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

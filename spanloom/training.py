@@ -20,7 +20,7 @@ from spanloom.session import checkpoint
 HOPELESS, GROWTH = 1 << 20, 8
 
 
-def filled(spark: SparkSession, regions: DataFrame, need: int, usable: Callable[[DataFrame], DataFrame], seed: int = 0, oversample: float = 2.0) -> DataFrame:
+def filled(spark: SparkSession, regions: DataFrame, need: int, usable: Callable[[DataFrame], DataFrame], seed: int = 0, oversample: float = 2.0, repeat_same: int | None = None) -> DataFrame:
     """What ``usable`` keeps of positions drawn over the regions, ``need`` rows or more.
 
     Draws go on in further ranges of their numbers, sized by the share kept so far, until there are enough; so the
@@ -29,7 +29,7 @@ def filled(spark: SparkSession, regions: DataFrame, need: int, usable: Callable[
     """
     kept, drawn, have, more = None, 0, 0, min(math.ceil(need * oversample), sample.MODULUS)
     while kept is None or have < need:
-        part = checkpoint(usable(sample.positions(spark, regions, more, seed, drawn)))
+        part = checkpoint(usable(sample.positions(spark, regions, more, seed, drawn, repeat_same)))
         kept = part if kept is None else kept.unionByName(part)
         drawn, have = drawn + more, have + part.count()
         if have < need and (drawn >= sample.MODULUS or (not have and (drawn >= HOPELESS or sample.epoch_batches(regions, 1, 1).first()["batches"] == 0))):
@@ -43,14 +43,16 @@ def training_table(
     collection: TrackCollection, regions: DataFrame, genome: DataFrame, chunk_size: int, sequence_length: int = 1000, center_bin_to_predict: int | None = None, window_size: int = 1,
     moving_average_window_size: int = 1, batch_size: int = 256, super_batch_size: int | None = None, batches_per_epoch: int | None = None, maximum_unknown_bases_fraction: float = 0.1,
     sequence_encoder: str | Callable[[Column], Column] | None = "onehot", default_value: float = 0.0, sub_sample_tracks: int | None = None, positions: DataFrame | None = None,
-    track_subsets: DataFrame | None = None, dtype: str = "float32", seed: int = 0, oversample: float = 2.0,
+    track_subsets: DataFrame | None = None, dtype: str = "float32", seed: int = 0, oversample: float = 2.0, repeat_same: int | None = None,
 ) -> DataFrame:
     """``(batch_id, query_id, chrom, center, sequence, track_ids, values)``: one epoch; ``values`` lists one array per track.
 
     Positions are drawn over the regions, ``oversample`` times as many as needed at first, or given as (chrom, center);
     those whose sequence is short or has too many unknown bases are left out and more are drawn until the epoch is full,
     or ``filled`` raises. The rest is numbered in the order drawn and cut to the epoch. Given positions are all there
-    are: if too few can be used, the epoch is short. Tracks are drawn per super-batch. The same seed gives the same table.
+    are: if too few can be used, the epoch is short; they come in the order of a column ``draw``, else in one of a hash
+    that depends on nothing but them. ``repeat_same`` draws the first so many positions again and again. Tracks are drawn
+    per super-batch. The same seed gives the same table.
     """
     if dtype not in ("float32", "bfloat16"):
         raise ValueError("dtype is float32 or bfloat16")
@@ -66,9 +68,9 @@ def training_table(
         return known_enough(slices(ranged, genome, chunk_size), sequence_length, maximum_unknown_bases_fraction)
 
     if positions is None:
-        kept = filled(spark, regions, need, usable, seed, oversample)
+        kept = filled(spark, regions, need, usable, seed, oversample, repeat_same)
     else:
-        kept = usable(positions if "draw" in positions.columns else positions.select("*", F.monotonically_increasing_id().alias("draw")))
+        kept = usable(positions if "draw" in positions.columns else sample.numbered_positions(positions))
     rows = epoch(batched(kept.withColumnRenamed("draw", "query_id"), batch_size), batches_per_epoch)
     rows = rows.withColumn("super_id", F.floor(F.col("batch_id") * batch_size / super_size))
     if track_subsets is None and sub_sample_tracks:
@@ -77,7 +79,8 @@ def training_table(
         rows = rows.join(track_subsets.select(F.col("batch_id").alias("super_id"), "track_ids"), "super_id", "left")
     first = F.col("center") - crop // 2
     ask = rows.select("query_id", "chrom", first.alias("start"), (first + crop).alias("end"), *(["track_ids"] if track_subsets is not None else []))
-    arrays = smoothed(value_arrays(ask, collection.tracks, collection.steps, window_size, default_value), moving_average_window_size)
+    ask = checkpoint(ask)  # it tells what to read of the tracks, and then meets it
+    arrays = smoothed(value_arrays(ask, collection.tracks, collection.steps_near(ask), window_size, default_value, repeats=collection.repeats), moving_average_window_size)
     cell = bfloat16_bits(F.col("values")) if dtype == "bfloat16" else F.col("values").cast("array<float>")
     per_query = arrays.withColumn("values", cell).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("track_no", "track_id", "values"))).alias("t"))
     out = rows.drop("track_ids", "super_id", "start", "end").join(per_query, "query_id")

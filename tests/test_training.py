@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanloom import export
 from spanloom.collection import TrackCollection
+from spanloom.operators import sample
 from spanloom.training import training_table
 
 CHUNK = 50
@@ -53,6 +54,22 @@ def test_given_positions(spark, parts):
     assert sorted(r.center for r in table.collect()) == [300, 500]
 
 
+def test_given_positions_are_numbered_alike_however_they_are_partitioned(spark, parts):
+    data = [("chr1", 100 + 7 * i) for i in range(60)] + [("chr1", 107), (None, 3), ("chr1", None)]
+    one = spark.createDataFrame(data, "chrom string, center long")
+    asked = dict(sequence_length=100, batch_size=8, batches_per_epoch=5)
+    got = [sorted((r.batch_id, r.query_id, r.center) for r in training_table(*parts, CHUNK, positions=p, **asked).collect()) for p in (one.coalesce(1), one.orderBy(F.desc("center")).repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
+def test_the_same_positions_again(spark, parts):
+    centers = [r.center for r in sample.positions(spark, parts[1], 20, 4, repeat_same=6).orderBy("draw").collect()]
+    assert centers == [centers[i % 6] for i in range(20)] and len(set(centers)) > 3
+    assert centers[:6] == [r.center for r in sample.positions(spark, parts[1], 6, 4).orderBy("draw").collect()]
+    table = training_table(*parts, CHUNK, sequence_length=100, batch_size=4, batches_per_epoch=3, seed=4, repeat_same=4, maximum_unknown_bases_fraction=1.0)
+    assert len({r.center for r in table.collect()}) <= 4
+
+
 def test_epoch_is_full_though_most_draws_are_rejected(spark, parts):
     collection, regions, _ = parts
     letters = ("acgt" * 500)[:1500] + ("ACGT" * 500)[:300] + "N" * 200  # under a seventh of the positions can be used

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from spanloom.collection import TrackCollection
 from spanloom.operators import values as val
 
 T0 = [(0, 5, 10, 20.0), (0, 10, 12, 30.0), (0, 12, 14, 40.0), (0, 18, 20, 50.0)]
@@ -111,6 +112,28 @@ def test_null_and_nan_steps(spark):
     assert got[0] == 0.0 and math.isnan(got[1]) and math.isnan(got[2])
 
 
+def test_repeated_steps_count_once(spark):
+    steps = [(0, 0, 5, 2.0), (0, 0, 5, 2.0), (0, 5, 7, 3.0), (0, 5, 7, 3.0), (0, 5, 7, 3.0)]
+    s = spark.createDataFrame([(t, "c", a, b, v) for t, a, b, v in steps], "track_id int, chrom string, start long, end long, value double")
+    q = spark.createDataFrame([(0, "c", 0, 8), (1, "c", 4, 12)], "query_id long, chrom string, start long, end long")
+    for w, expected in ((1, [2.0] * 5 + [3.0] * 2 + [0.0]), (4, [2.0, 2.0])):
+        assert arrays(val.value_arrays(q, s.select("track_id").distinct(), s, w, repeats=True))[(0, 0)] == expected
+
+
+@pytest.mark.parametrize("tile", [7, 64, 1 << 20])
+def test_stored_tiles_give_the_same_values(spark, rows, tmp_path, tile):
+    steps = spark.createDataFrame([(t, c, s, s + 9, float(s + t)) for t in (0, 1) for c in ("c", "d") for s in range(0, 300, 11)] + [(0, "c", 400, None, 1.0)], "track_id int, chrom string, start long, end long, value double")
+    tracks = spark.createDataFrame([(0,), (1,)], "track_id int")
+    whole = TrackCollection(spark, steps, tracks, tracks)
+    whole.store(str(tmp_path), tile)
+    parts = TrackCollection.stored(spark, str(tmp_path), tracks, tracks, tile)
+    asked = (["c", "d", "c", "x"], [0, 50, 295, 0], [20, 70, 315, 20])
+    assert rows(parts.values(asked, 4)) == rows(whole.values(asked, 4))
+    if tile == 7:
+        assert parts.steps_near(parts.queries((["c"], [14], [21]))).select("start").distinct().count() < 4
+    assert parts.values(([], [], [])).count() == 0
+
+
 def test_query_without_any_step(spark):
     assert arrays(run(spark, [], [(0, 4)], 2, 1.5)) == {(0, 0): [1.5, 1.5]}
 
@@ -129,6 +152,16 @@ def test_smoothing_like_convolution(spark, w):
     np.testing.assert_allclose(val.smoothed(df, w).first()["values"], np.convolve(line, np.ones(w) / w, "same"))
 
 
+def test_smoothing_lines_of_several_lengths(spark):
+    lines = [[1.0, 5.0, -2.0], [], [4.0, math.nan, 1.0, 2.0, 9.0], [3.0, 3.0, 3.0]]
+    df = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(lines) if x], "query_id long, track_no int, track_id int, values array<double>")
+    for r in val.smoothed(df, 3).collect():
+        np.testing.assert_allclose(r["values"], np.convolve(lines[r.query_id], np.ones(3) / 3, "same"))
+    with pytest.raises(Exception, match="wider than the values"):
+        val.smoothed(df, 4).collect()
+    assert val.smoothed(df.limit(0), 3).count() == 0
+
+
 def test_overlapping_steps_are_found(spark):
     s = spark.createDataFrame([(0, "c", 0, 5, 1.0), (0, "c", 4, 9, 1.0), (1, "c", 4, 9, 1.0)], "track_id int, chrom string, start long, end long, value double")
     assert [tuple(r) for r in val.check_steps(s).collect()] == [(0, "c", 4, 9)]
