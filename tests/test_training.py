@@ -1,3 +1,6 @@
+import sys
+import types
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +94,56 @@ def test_epoch_that_nothing_can_fill_raises(spark, parts, monkeypatch):
         training_table(collection, regions.limit(0), genome, CHUNK, sequence_length=100, batch_size=4, batches_per_epoch=1)
 
 
+def same_batches(a, b):
+    assert [x["batch_id"] for x in a] == [x["batch_id"] for x in b]
+    for x, y in zip(a, b):
+        np.testing.assert_array_equal(x["values"], y["values"])
+        np.testing.assert_array_equal(x["sequences"], y["sequences"])
+        assert x["track_ids"] == y["track_ids"] and x["values"].dtype == y["values"].dtype
+
+
+@pytest.mark.parametrize("dtype", ["float32", "bfloat16"])
+def test_stored_batches_are_shared_by_readers(parts, tmp_path, monkeypatch, dtype):
+    table = training_table(*parts, CHUNK, sequence_length=100, window_size=10, batch_size=4, batches_per_epoch=7, sub_sample_tracks=2, seed=1, dtype=dtype)
+    export.write_batches(table.repartition(5), str(tmp_path / "t"))
+    monkeypatch.setattr(export, "READ_ROWS", 3)
+    expected = list(export.batches(table, parts[0].tracks))
+    stored = export.StoredBatches(f"file://{tmp_path}/t", names={t: f"t{t}" for t in range(4)})
+    got = sorted(stored, key=lambda b: b["batch_id"])
+    same_batches(got, expected)
+    assert [b["track_names"] for b in got] == [b["track_names"] for b in expected] and len(list(stored)) == 7
+    shared = [b for w in range(3) for b in export.StoredBatches(str(tmp_path / "t"), w, 3)]
+    same_batches(sorted(shared, key=lambda b: b["batch_id"]), expected)
+    with pytest.raises(ValueError):
+        export.StoredBatches("x", 2, 2)
+
+
+def test_tensors(parts, tmp_path):
+    torch = pytest.importorskip("torch")
+    table = training_table(*parts, CHUNK, sequence_length=100, batch_size=4, batches_per_epoch=3, seed=1, dtype="bfloat16")
+    export.write_batches(table, str(tmp_path / "t"))
+    got = list(torch.utils.data.DataLoader(export.torch_dataset(str(tmp_path / "t")), batch_size=None, num_workers=2))
+    assert sorted(b["batch_id"] for b in got) == [0, 1, 2] and got[0]["values"].dtype == torch.bfloat16 and got[0]["sequences"].shape == (4, 100, 4)
+
+
+def test_tensors_hold_the_bits(monkeypatch):
+    """With a stand-in for torch, as it may be missing: arrays are handed over as they are, bfloat16 as 16-bit words."""
+
+    class Tensor:
+        def __init__(self, array):
+            self.array = array
+
+        def view(self, kind):
+            self.kind = kind
+            return self
+
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(from_numpy=Tensor, bfloat16="bfloat16"))
+    batch = {"batch_id": 3, "values": np.array([[0x3F80, 0xC000]], np.uint16), "sequences": np.ones((1, 2), np.float32)}
+    got = export.to_torch(batch)
+    assert got["batch_id"] == 3 and got["values"].kind == "bfloat16" and got["values"].array.view(np.uint16).tolist() == [[0x3F80, 0xC000]]
+    np.testing.assert_array_equal(got["sequences"].array, batch["sequences"])
+
+
 def test_tsv(spark, rows, parts, tmp_path):
     export.write_tsv(parts[1], str(tmp_path / "r"))
     assert rows(export.read_tsv(spark, str(tmp_path / "r"), "chrom string, start long, end long")) == rows(parts[1])
