@@ -4,10 +4,11 @@ Each interval gives an event +1 at its start and -1 at its end. Summed up in ord
 active; a period starts where the count leaves zero and ends where it comes back, and from there to the next start is
 a gap. Events at one position are added first, so touching intervals are one period.
 
-A group may hold a third of all rows, so no window covers a group. Positions are cut into blocks. The count that a
-block starts with is the sum of the deltas of all earlier blocks, from a small table of block totals; the window that
-runs over events covers one block. What spans blocks is put together by the last boundary of a block and the first of
-the next one that has any.
+A group may hold a third of all rows, so no window covers a group. Intervals are cut at the borders of blocks of
+positions, so the count of every block begins and ends with zero and the window that runs over events covers one block.
+Where one block's last period ends on the border on which the next block's first one starts, neither boundary is one:
+of each block the first and the last two boundaries meet in a second window, which drops such pairs and links what is
+left. The input is read once and its rows are shuffled once, as intervals.
 
 Rows lacking start or end, or with end <= start, don't count. Null keys form groups like any other value. Repeated rows
 change nothing. An empty table gives an empty table. Other columns are ignored.
@@ -23,36 +24,29 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 22
 
 
-
-
 def periods_and_gaps(df: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", block: int = BLOCK) -> DataFrame:
     """``(*by, kind, from_base, to_base)`` with kind 'period' or 'gap'."""
     by = list(by)
     names = [f"__k{i}" for i in range(len(by))]
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(start).alias("s"), F.col(end).alias("e")).where("e > s")
-    events = rows.select(*names, F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("ev"))
-    events = events.select(*names, "ev.pos", "ev.d").withColumn("block", F.floor(F.col("pos") / block))
     keys = [*names, "block"]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(start).alias("s"), F.col(end).alias("e")).where("e > s")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("e") - 1) / block))))
+    cut = rows.select(*keys, F.greatest("s", F.col("block") * block).alias("s"), F.least("e", (F.col("block") + 1) * block).alias("e")).repartition(*keys)
 
-    totals = events.groupBy(*keys).agg(F.sum("d").alias("w"))
-    before = F.sum("w").over(Window.partitionBy(*names).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(*[F.col(k).alias(f"c{k}") for k in keys], F.coalesce(before, F.lit(0)).alias("carried"))
-
-    spread = events.repartition(*[F.col(k) for k in keys]).groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
+    event = F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d")))).alias("ev")
+    events = cut.select(*keys, event).groupBy(*keys, F.col("ev.pos").alias("pos")).agg(F.sum("ev.d").alias("d"))
     inside = Window.partitionBy(*keys).orderBy("pos")
-    counted = spread.withColumn("in_block", F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"c{k}"))
-    counted = counted.join(carried, on).withColumn("active", F.col("carried") + F.col("in_block"))
+    counted = events.withColumn("active", F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     edges = counted.where((F.col("d") != 0) & ((F.col("active") == 0) | (F.col("active") == F.col("d"))))
     kind = F.when(F.col("active") == 0, "gap").otherwise("period")
-    edges = edges.select(*keys, "pos", kind.alias("kind"))
-    edges = edges.withColumn("next", F.lead("pos").over(inside)).withColumn("n", F.row_number().over(inside))
-
-    within = edges.where(F.col("next").isNotNull()).select(*names, "kind", F.col("pos").alias("from_base"), F.col("next").alias("to_base"))
-    border = edges.where((F.col("n") == 1) | F.col("next").isNull())
-    onward = Window.partitionBy(*names).orderBy("pos")
-    across = border.withColumn("onward", F.lead("pos").over(onward)).where(F.col("next").isNull() & F.col("onward").isNotNull())
-    across = across.select(*names, "kind", F.col("pos").alias("from_base"), F.col("onward").alias("to_base"))
+    edges = edges.select(*keys, "pos", kind.alias("kind"), F.lead("pos").over(inside).alias("next"), F.row_number().over(inside).alias("n"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("m"))
+
+    # boundaries alternate, so a block has an even number of them; what follows the second up to the third last is certain
+    certain = (F.col("n") > 1) & (F.col("n") < F.col("m") - 1)
+    within = edges.where(certain).select(*names, "kind", F.col("pos").alias("from_base"), F.col("next").alias("to_base"))
+    border = edges.where((F.col("n") <= 2) | (F.col("n") >= F.col("m") - 1))
+    onward = Window.partitionBy(*names).orderBy("pos", "block")
+    lost = F.when(F.col("kind") == "gap", F.lead("pos").over(onward) == F.col("pos")).otherwise(F.lag("pos").over(onward) == F.col("pos"))
+    linked = border.withColumn("lost", F.coalesce(lost, F.lit(False))).where(~F.col("lost")).withColumn("onward", F.lead("pos").over(onward))
+    across = linked.where(~certain & F.col("onward").isNotNull()).select(*names, "kind", F.col("pos").alias("from_base"), F.col("onward").alias("to_base"))
     return within.unionAll(across).select(*[F.col(n).alias(c) for n, c in zip(names, by)], "kind", "from_base", "to_base")
