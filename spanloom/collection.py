@@ -77,9 +77,9 @@ class TrackCollection:
         return touched(self._index, queries.select("chrom", *[F.col(c).alias(n) for c, n in Q.items()]), bin_size=CHUNK_BIN, once=True)
 
     def steps_near(self, queries: DataFrame) -> DataFrame:
-        """The steps from which the queries can be answered: read by chunk or by tile; all steps of a collection without either.
+        """The steps from which the queries can be answered: read by chunk or by tile, or those of the stretch and chromosomes that queries span.
 
-        The tiles that queries touch are listed on the driver; a genome has a few thousand.
+        The tiles, or chromosomes, that queries touch are listed on the driver; a genome has a few thousand.
         """
         if self._chunks is not None:
             return bigwig.steps_of(self.chunks_near(queries))
@@ -87,7 +87,10 @@ class TrackCollection:
             tiles = F.explode(F.sequence(F.floor(F.col("start") / self._tile), F.floor((F.col("end") - 1) / self._tile)))
             near = queries.where("end > start").select("chrom", tiles.alias("t")).select(F.concat_ws(":", "chrom", "t").alias("tile")).distinct()
             return self.steps.where(F.col("tile").isin([r.tile for r in near.collect()])).drop("tile")
-        return self.steps
+        low, high, names = queries.agg(F.min("start"), F.max("end"), F.collect_set("chrom")).first()
+        if low is None:
+            return self.steps.where(F.lit(False))
+        return self.steps.where((F.col("start") < high) & (F.col("end") > low) & F.col("chrom").isin(names))
 
     @property
     def n_tracks(self) -> int:

@@ -5,6 +5,7 @@ Sums of values are rounded where engines may add in another order.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -380,7 +381,7 @@ _written: dict[tuple[str, str], str] = {}
 def _files(s: SparkSession, d: str) -> str:
     """A folder with the steps of each track in a file of its own, written once a session."""
     key = s.sparkContext.applicationId, d
-    if key not in _written:
+    if key not in _written or not os.path.isdir(_written[key]):
         sizes = {r.chrom: r.chrom_size for r in table(s, d, "chroms").select("chrom", "chrom_size").collect()}
         folder = new_folder(s, "tracks")
         write_tracks(tables.steps(s, d), sizes, folder, zooms=(ZOOM,)).collect()
