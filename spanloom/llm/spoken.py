@@ -37,7 +37,11 @@ NARROW = {"c": "e", "l": "i", "1": "i", "|": "i", "0": "o", "a": "o", "t": "f",
 HIDDEN_BY_ACCENTS = "eion"
 
 _CREDIT = re.compile(r"(?:" + "|".join(CREDITS) + r")", re.IGNORECASE)
-_ADDRESS = re.compile(r"\S*[^\s@]@[^\s@]+\.[^\s@]{2,}|\S+://\S*|\bwww\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z][a-z0-9]+(?:/\S*|(?=\s*$))", re.MULTILINE)
+# every part has a bound, so that an endless word costs no more than its length
+_ADDRESS = re.compile(
+    r"[^\s@]{1,64}@[^\s@.]{1,64}\.[^\s@]{2,64}|\b[A-Za-z]{2,9}://\S*|\bwww\.\S+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,6}\.[a-z][a-z0-9]{1,23}(?:/\S*|(?=[ \t]{0,9}$))",
+    re.MULTILINE,
+)
 _MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _DOT = re.compile(r"[A-Za-z0-9-]\.[a-z]")
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from spanloom.llm import spoken as s
 
 FILE = """﻿1
@@ -74,6 +78,13 @@ def test_very_long_text():
     assert len(s.tokens(text)) == 300_001
 
 
+@pytest.mark.parametrize("unit", ["a.b", "a.", "x", "<", "(", "[a", "*a", "♪", "@a.b", "a@", "://", "www.", "?", "a b.c ", ". ", "-", "a:", "#", "É.É"])
+def test_endless_words_cost_no_more_than_their_length(unit):
+    began = time.perf_counter()
+    s.tokens(cue(unit * 60_000 + ".a" + unit * 60_000))
+    assert time.perf_counter() - began < 10
+
+
 def test_damage_does_not_change_a_word():
     for clean, damaged in [
         ("little", "Iittle"), ("little", "l1ttle"), ("modern", "rnodern"), ("modern", "modem"), ("cold", "colcl"), ("window", "vvindow"), ("sun", "5iin"), ("him", "liim"), ("political", "pohtical"),
