@@ -8,9 +8,9 @@ train strings list their substrings there, both sides are joined on the content,
 dynamic programme within a band of k, over whole Arrow batches at once.
 
 ``near_texts`` joins texts letter by letter. ``near_pairs`` joins intervals. Its letters are cells of a grid: an
-interval is the string of the cells it touches, cells being a power of two over a fifth of the held-out length. Bases
-that two intervals sharing nine tenths of the longer one don't share are less than one cell, so each end moves by one
-cell at most: k = 2, and as an interval has three to six letters, a segment is one letter. The exact test on bases comes
+interval is the string of the cells it touches, cells being a power of two over a fifth of the train interval's length.
+Bases that two intervals sharing nine tenths of the longer one don't share are less than one cell, so each end moves by
+one cell at most: k = 2, and as an interval has three letters at least and seven at most, a segment is one letter. The exact test on bases comes
 last. An interval under five bases is spelled in bases and must be met exactly, as no base may be missing.
 
 A pair is kept for its first segment and position only, so no distinct follows. Copies are collapsed before the join
@@ -33,7 +33,7 @@ from spanloom.session import checkpoint
 
 SHARE = 0.9
 SIMILARITY = 0.8
-#: Letters of an interval are so long that a held-out one has at most this many whole ones.
+#: Letters of an interval are so long that a train one has less than this many whole ones.
 CELLS = 5
 FAR = 1 << 29
 
@@ -148,7 +148,7 @@ def segment_join(train: DataFrame, held: DataFrame, same: Sequence[str], carried
         return F.floor(i * n / (F.col("k") + 1)).cast("int")
 
     h = listed(held, "h_").withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).withColumn("own", place(F.col("i"), F.col("h_n")))
-    h = h.withColumn("__key", content(F.col("own"))).drop("__l", "k", "w")
+    h = h.withColumn("__key", content(F.col("own"))).drop("__l", "k", "w")  # both depend on ``same``
     t = listed(train, "t_")
     n, kk, zero = F.col("t_n"), F.col("k"), F.lit(0)
 
@@ -159,9 +159,9 @@ def segment_join(train: DataFrame, held: DataFrame, same: Sequence[str], carried
         return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     places = F.array_distinct(F.flatten(F.transform(F.sequence(zero, kk), allowed)))
-    t = t.withColumn("at", F.explode(places)).withColumn("__key", content(F.col("at"))).drop("__l")
+    t = t.withColumn("at", F.explode(places)).withColumn("__key", content(F.col("at"))).drop("__l", "k", "w")
     move, longer = F.col("at") - F.col("own"), F.col("t_n") - F.col("h_n")
-    met = t.join(h, [*same, "__key"])
+    met = t.join(h, [*same, "__key"]).withColumns({"k": k, "w": w})
     return met.where((F.abs(move) <= F.col("i")) & (F.abs(move - longer) <= F.col("k") - F.col("i"))).drop("__key", "own")
 
 
@@ -203,22 +203,22 @@ def near_texts(train: DataFrame, held: DataFrame, similarity: float = SIMILARITY
 
 
 def _grid(length: Column) -> Column:
-    """Which power of two a cell is, for a held-out interval of ``length``: the least that makes it shorter than ``CELLS`` cells."""
+    """Which power of two a cell is, for a train interval of ``length``: the least that makes it shorter than ``CELLS`` cells."""
     return _bits(F.floor(length / CELLS).cast("bigint")).cast("int")
 
 
 def near_pairs(train: DataFrame, held: DataFrame, share: float = SHARE) -> DataFrame:
     """``(key, train_s, train_e, held_s, held_e, edits)``: pairs of classes sharing ``share`` of the longer one, each once.
 
-    ``train`` and ``held`` have one row per class: key, s, e. ``edits`` counts cells. A train interval is spelled on the
-    grid, or both grids, that held-out ones near it have.
+    ``train`` and ``held`` have one row per class: key, s, e. ``edits`` counts cells. A held-out interval, of which there
+    are fewer, is spelled on the grid, or both grids, that train ones near it have.
     """
     if not SHARE <= share <= 1:
         raise ValueError(f"share is {SHARE} or more, else an end may move by over one cell")
     length = F.col("e") - F.col("s")
     grids = F.sequence(_grid(F.floor(length * SHARE)), _grid(F.ceil(length / SHARE)))
-    t = train.select("key", "s", "e", F.explode(grids).alias("grid"))
-    h = held.select("key", "s", "e", _grid(length).alias("grid"))
+    t = train.select("key", "s", "e", _grid(length).alias("grid"))
+    h = held.select("key", "s", "e", F.explode(grids).alias("grid"))
 
     def letters(p: str) -> Column:
         return F.sequence(F.call_function("shiftright", F.col(f"{p}s"), F.col("grid")), F.call_function("shiftright", F.col(f"{p}e") - 1, F.col("grid")))
