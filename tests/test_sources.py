@@ -230,6 +230,22 @@ def test_layouts_of_fasta(tmp_path, monkeypatch, end):
     assert got == seqs
 
 
+@pytest.mark.parametrize("range_bytes", [7, 64, 1 << 20])
+def test_indexes_written_by_tasks(spark, tmp_path, range_bytes):
+    rnd = random.Random(3)
+    for k, new in enumerate(("\n", "\r\n")):
+        seqs = [(f"s{i}", "".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, 1, 19, 20, 21, 60])))) for i in range(9)]
+        (tmp_path / f"{k}.fa").write_bytes("".join(f">{n} {'w' * rnd.randrange(9)}{new}" + "".join(x[i : i + 20] + new for i in range(0, len(x), 20)) for n, x in seqs).encode())
+    (tmp_path / "none.fa").write_bytes(b"")
+    (tmp_path / "open.fasta").write_bytes(b">a\nACGT\nAC")
+    expected = {p: fasta.index(p) for p in paths.find_files(tmp_path, fasta.EXTENSIONS)}
+    got = {r.path: r.n for r in fasta.write_indexes(spark, str(tmp_path), range_bytes=range_bytes).collect()}
+    assert got == {p: len(e) for p, e in expected.items()}
+    for p, e in expected.items():
+        assert fasta.exists(p + ".fai") and fasta.index(p) == e
+    assert len(paths.find_files(tmp_path, [""])) == 8
+
+
 def test_finding_files(tmp_path):
     for name in ("top.bw", "deep/er/x.bw", "deep/y.bigWig", "deep/er/z.bw", "notes.txt", "deep/x.bw.bak"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
