@@ -60,7 +60,9 @@ def hits(queries: DataFrame, steps: DataFrame, bin_size: int = BIN, repeats: boo
     if some:
         met = met.where(F.array_contains("q_tracks", F.col("track_id")))
     lo, hi = F.greatest("start", "q_start") - F.col("q_start"), F.least("end", "q_end") - F.col("q_start")
-    found = met.select("query_id", "track_id", (F.col("q_end") - F.col("q_start")).alias("n_bases"), lo.alias("lo"), hi.alias("hi"), "value").repartition("query_id", "track_id")
+    # what is made of the hits may be many times their size, so the number of partitions isn't left to it
+    n = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.select("query_id", "track_id", (F.col("q_end") - F.col("q_start")).alias("n_bases"), lo.alias("lo"), hi.alias("hi"), "value").repartition(n, "query_id", "track_id")
     return found.distinct() if repeats else found
 
 
