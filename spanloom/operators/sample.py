@@ -49,9 +49,9 @@ def positions(spark: SparkSession, regions: DataFrame, n: int, seed: int = 0, fi
     """``(draw, chrom, center)``: ``n`` positions, each base of the regions equally likely, the same for the same seed.
 
     Draws are numbered from ``first``, so a later range of numbers goes on where an earlier one ended. With
-    ``repeat_same`` the first so many positions come again and again.
+    ``repeat_same`` the first so many positions come again and again. ``regions`` may be indexed already.
     """
-    index = cumulative_index(regions).select("chrom", "start", "cum_start", "cum_end")
+    index = (regions if "cum_end" in regions.columns else cumulative_index(regions)).select("chrom", "start", "cum_start", "cum_end")
     total = index.agg(F.max("cum_end").alias("t")).scalar()
     draws = spark.range(first, first + n).select(F.col("id").alias("draw"), uniform(F.pmod(F.col("id"), F.lit(repeat_same)) if repeat_same else F.col("id"), total, seed).alias("r")).where("r is not null")
     width = 1 << 16

@@ -27,9 +27,10 @@ def filled(spark: SparkSession, regions: DataFrame, need: int, usable: Callable[
     first ``need`` rows by ``draw`` are those that drawing one by one would give. Each range is written once. If the
     regions hold nothing usable, or the generator's numbers are used up, it raises.
     """
+    indexed = checkpoint(sample.cumulative_index(regions.select("chrom", "start", "end")))
     kept, drawn, have, more = None, 0, 0, min(math.ceil(need * oversample), sample.MODULUS)
     while kept is None or have < need:
-        part = checkpoint(usable(sample.positions(spark, regions, more, seed, drawn, repeat_same)))
+        part = checkpoint(usable(sample.positions(spark, indexed, more, seed, drawn, repeat_same)))
         kept = part if kept is None else kept.unionByName(part)
         drawn, have = drawn + more, have + part.count()
         if have < need and (drawn >= sample.MODULUS or (not have and (drawn >= HOPELESS or sample.epoch_batches(regions, 1, 1).first()["batches"] == 0))):
