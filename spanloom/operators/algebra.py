@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.chrom import standard_chromosomes
@@ -86,37 +86,37 @@ def subtract(df: DataFrame, holes: DataFrame, buffer: int = 0, bin_size: int = H
     ``buffer`` widens the holes first, their starts not below 0. Holes may overlap one another and name chromosomes
     that the intervals lack. Repeated intervals stay repeated.
 
-    Merged holes are listed per (chromosome, bin), at most one for every two bases. An interval within one bin, the
-    usual case, meets its list in one join. One over several bins is cut at their borders, meets the lists piece by
-    piece, and what is left on both sides of a border is put together again by a window over its pieces.
+    A table lists for each bin of a chromosome, up to its last hole, the holes in it, at most one for every two bases,
+    and where the next one beyond it starts; a genome has some fifty thousand bins. An interval meets the bins it
+    touches, usually one. What is left of it begins at its start or at a hole's end, ends at the next hole, and is given
+    by the bin it begins in. So each bin decides alone, and nothing has to be put together again.
     """
     if buffer:
         holes = padded(holes, buffer)
     columns = df.columns
     cut = merge(holes.select("chrom", "start", "end")).select(F.col("chrom").alias("__hchrom"), F.col("start").alias("__hs"), F.col("end").alias("__he"))
-    cut = cut.withColumn("__hbin", F.explode(F.sequence(F.floor(F.col("__hs") / bin_size), F.floor((F.col("__he") - 1) / bin_size))))
-    listed = cut.groupBy("__hchrom", "__hbin").agg(F.array_sort(F.collect_list(F.struct("__hs", "__he"))).alias("__all"))
-
-    def pieces(rows: DataFrame, start: Column, end: Column) -> DataFrame:
-        """``__piece``: what is left between two positions of a bin; a row without holes is kept as it is, which spares it the work on arrays."""
-        met = rows.join(listed, (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin")), "left")
-        met = met.withColumn("__holes", F.filter("__all", lambda h: (h["__hs"] < end) & (h["__he"] > start)))
-        starts = F.concat(F.array(start), F.transform("__holes", lambda h: h["__he"]))
-        ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array(end))
-        left = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] < p["e"])
-        whole = F.array(F.struct(start.alias("s"), end.alias("e")))
-        return met.withColumn("__piece", F.explode(F.when(F.size("__holes") > 0, left).otherwise(whole)))
-
-    rows = df.where("end > start and chrom is not null").withColumns({"__bin": F.floor(F.col("start") / bin_size), "__last": F.floor((F.col("end") - 1) / bin_size)})
-    short = pieces(rows.where(F.col("__bin") == F.col("__last")), F.col("start"), F.col("end")).withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
-
-    long = rows.where(F.col("__bin") < F.col("__last")).groupBy(*columns, "__bin", "__last").agg(F.count(F.lit(1)).alias("__n")).withColumn("__bin", F.explode(F.sequence("__bin", "__last")))
-    parts = pieces(long, F.greatest(F.col("start"), F.col("__bin") * bin_size), F.least(F.col("end"), (F.col("__bin") + 1) * bin_size)).select(*columns, "__n", "__piece.s", "__piece.e")
-    each = Window.partitionBy(*columns, "__n").orderBy("s")
-    parts = parts.withColumn("__new", F.coalesce((F.col("s") > F.lag("e").over(each)).cast("int"), F.lit(1)))
-    parts = parts.withColumn("__part", F.sum("__new").over(each.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*columns, "__n", "__part").agg(F.min("s").alias("__s"), F.max("e").alias("__e"))
-    copies = parts.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-    return short.unionByName(copies.withColumns({"start": F.col("__s"), "end": F.col("__e")}).select(*columns))
+    # every bin up to the last hole's is listed, for each hole those it touches and those from the one before it
+    bins = F.sequence(F.floor(F.col("__hs") / bin_size), F.floor(F.col("__he") / bin_size))  # that of the base behind it too, where something may begin
+    listed = cut.withColumn("__hbin", F.explode(bins)).groupBy("__hchrom", "__hbin").agg(
+        F.array_sort(F.collect_list(F.struct("__hs", "__he"))).alias("__all"), F.min(F.when(F.col("__hs") >= F.col("__hbin") * bin_size, F.col("__hs"))).alias("__first"))
+    chrom = Window.partitionBy("__hchrom").orderBy("__hbin")
+    listed = listed.withColumns({"__next": F.min("__first").over(chrom.rowsBetween(1, Window.unboundedFollowing)), "__gap": F.coalesce(F.lag("__hbin").over(chrom) + 1, F.lit(0))})
+    own = F.struct(F.col("__hbin").alias("b"), F.col("__all").alias("all"), F.col("__next").alias("next"))
+    empty = F.transform(F.when(F.col("__gap") < F.col("__hbin"), F.sequence("__gap", F.col("__hbin") - 1)).otherwise(F.array().cast("array<bigint>")), lambda b: F.struct(b.alias("b"), F.lit(None).cast(listed.schema["__all"].dataType).alias("all"), F.col("__all")[0]["__hs"].alias("next")))
+    dense = listed.select("__hchrom", F.explode(F.concat(empty, F.array(own))).alias("__d")).select("__hchrom", F.col("__d.b").alias("__hbin"), F.col("__d.all").alias("__all"), F.col("__d.next").alias("__next"))
+
+    rows = df.where("end > start and chrom is not null").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))))
+    met = rows.join(dense, (F.col("chrom") == F.col("__hchrom")) & (F.col("__bin") == F.col("__hbin")), "left")
+    low, high = F.col("__bin") * bin_size, (F.col("__bin") + 1) * bin_size
+    met = met.withColumn("__holes", F.filter("__all", lambda h: (h["__hs"] < F.col("end")) & (h["__he"] > F.col("start")) & (h["__he"] >= low)))
+    first, tail = low <= F.col("start"), F.least("end", "__next")  # the least of what isn't null
+    starts = F.concat(F.array("start"), F.transform("__holes", lambda h: h["__he"]))
+    ends = F.concat(F.transform("__holes", lambda h: h["__hs"]), F.array(tail))
+    zipped = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+    left = F.filter(F.when(first, zipped).otherwise(F.slice(zipped, 2, 1 << 30)), lambda p: (p["s"] < p["e"]) & (p["s"] < high))
+    whole = F.when(first, F.array(F.struct(F.col("start").alias("s"), tail.alias("e"))))
+    met = met.withColumn("__piece", F.explode(F.when(F.size("__holes") > 0, left).otherwise(whole)))
+    return met.withColumns({"start": F.col("__piece.s"), "end": F.col("__piece.e")}).select(*columns)
 
 
 def intervals(

@@ -86,6 +86,22 @@ def test_subtract_of_long_and_repeated_intervals(spark, rows):
     assert algebra.subtract(frame(spark, left), holes.limit(0)).count() == 5 and algebra.subtract(frame(spark, []), holes).count() == 0
 
 
+def test_subtract_equals_brute_force_at_every_bin_size(spark, rows):
+    """Holes and intervals that begin and end on borders of bins, span many, lie beyond the last hole or before the first."""
+    rnd = random.Random(7)
+    edge = lambda: rnd.choice([rnd.randrange(0, 60) * 8, rnd.randrange(0, 480)])
+    left = [(rnd.choice("ab"), s := edge(), s + rnd.choice([1, 7, 8, 9, 16, 100, 300]), float(i)) for i in range(150)]
+    right = [("a", s := edge(), s + rnd.choice([1, 8, 16, 24, 40])) for _ in range(14)] + [("b", 64, 72)]
+    expected = []
+    for c, s, e, v in left:
+        free = [p for p in range(s, e) if not any(h[0] == c and h[1] <= p < h[2] for h in right)]
+        for p in free:
+            if p - 1 not in free:
+                expected.append((c, p, next(q for q in range(p, e + 1) if q not in free), v))
+    for bin_size in (8, 16, 48, 1 << 16):
+        assert rows(algebra.subtract(frame(spark, left), frame(spark, right, "chrom string, start long, end long"), bin_size=bin_size)) == sorted(expected, key=repr), bin_size
+
+
 def test_filters_and_padding(spark, rows):
     df = frame(spark, [("chr1", 3, 9, 1.0), ("chrX", 20, 30, 0.0), ("chrZ", 40, 50, -2.0)])
     assert [r[0] for r in rows(algebra.select_chromosomes(df, "standard"))] == ["chr1", "chrX"]
