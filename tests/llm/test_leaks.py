@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from spanloom.llm import leaks, spoken
 
 RND = random.Random(4)
@@ -73,6 +75,41 @@ def test_stretches_over_doubtful_parts():
     assert search.spoken_in(shown % spoken_cue, codes) == set() and search.spoken_in(None, codes) == set()
 
 
+MISREAD = [("l", "I"), ("i", "l"), ("rn", "m"), ("m", "rn"), ("d", "cl"), ("o", "0"), ("e", "c"), ("t", "f"), ("s", "5"), ("h", "li"), ("g", "9"), ("b", "8"), ("u", "ii"), ("w", "vv")]
+ACCENTED = ["vérité", "déjà", "garçon", "mañana", "español", "über", "größer", "straße", "hôtel", "naïve", "cœur", "kitchen", "window", "brother", "morning", "yesterday", "little", "garden"]
+
+
+def damage(word, kind, rnd):
+    if kind == "misread":
+        fits = [m for m in MISREAD if m[0] in word]
+        return word.replace(*rnd.choice(fits), 1) if fits else word
+    if kind == "hidden":
+        return "".join(rnd.choice("?\ufffd") if not c.isascii() else c for c in word)
+    return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in word.encode())  # UTF-8 read as a Western code page
+
+
+@pytest.mark.parametrize("kind", ["none", "misread", "hidden", "decoded"])
+def test_recall_under_damage(kind):
+    """Stretches of 12 words and more, damaged in every word and cut over cues with names, sounds, markup and adverts."""
+    rnd = random.Random(20)
+    passages = [(i, " ".join(rnd.choice(ACCENTED) + rnd.choice(["", "", ",", "."]) for _ in range(30))) for i in range(40)]
+    search = leaks.Searcher(passages)
+    codes = search.codes()
+    for item, passage in passages:
+        at, n = rnd.randrange(17), rnd.randrange(12, 14)
+        spoken_words = [rnd.choice(VOCABULARY) for _ in range(9)] + passage.split()[at : at + n] + [rnd.choice(VOCABULARY) for _ in range(9)]
+        if kind != "none":
+            spoken_words = [damage(w, kind, rnd) for w in spoken_words]
+        lines = []
+        for i in range(0, len(spoken_words), 4):
+            line = " ".join(spoken_words[i : i + 4])
+            line = rnd.choice([line, f"<i>{line}</i>", f"JEAN: {line}", f"- {line}", f"{line}\n(bruit)", f"[porte\nclaque] {line}"])
+            lines.append(f"{i}\n00:00:0{i % 10},000 --> 00:00:0{i % 10},900\n{line}\n")
+            if rnd.random() < 0.2:
+                lines.append("00:00:01,000 --> 00:00:02,000\nPlus de films sur www.quelque-part.example\n")
+        assert item in search.spoken_in("\n".join(lines), codes), (item, lines)
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, passage string, suite string")
