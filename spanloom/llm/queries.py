@@ -106,6 +106,16 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(documents, items), items, documents)
 
 
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pairs of each suite: its number of items, that each pair is given once, of known items and documents with text."""
+    items, documents = table(spark, folder, "eval_items").select("item_id", "suite", "passage"), table(spark, folder, "documents").where(F.length("text") > 0)
+    pairs = leaks.leaked_items(documents, items.select("item_id", "passage")).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.join(documents.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    per_item = pairs.groupBy("item_id").agg(F.every(F.col("n") == 1).alias("once"), F.every(F.coalesce("known", F.lit(False))).alias("known"))
+    met = items.select("item_id", "suite").join(per_item, "item_id", "full").groupBy("suite")
+    return met.agg(F.count_distinct("item_id").alias("n_items"), F.every(F.coalesce("once", F.lit(True))).alias("once"), F.every(F.coalesce("known", F.lit(True))).alias("known"))
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, written once as the mixture reads them several times."""
     return checkpoint(tokens.token_sizes(table(spark, folder, "documents")))
@@ -141,8 +151,17 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reading.profile(reading.predict(documents, model))
 
 
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the levels: each document once, none without text, levels of the scale, words known or not within the words."""
+    documents = table(spark, folder, "documents")
+    levels = reading.predict(documents, reading.fit(documents, table(spark, folder, "reading_labels")))
+    met = levels.join(documents.select("doc_id", (F.length("text") > 0).alias("spoken")), "doc_id", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.every(F.coalesce("spoken", F.lit(False))).alias("spoken"), F.every(F.col("reading_level").between(1, 4) & F.col("n_known").between(0, F.col("n_words"))).alias("fit"))
+    return met.agg(F.every(F.col("n") == 1).alias("once"), F.every("spoken").alias("with_text"), F.every("fit").alias("on_scale"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_percentiles, p2_found, p2_runs, p3_found, p3_counts, p5_found, p5_shares, p5_assigned, p6_found, p6_report, p7_found, p7_shares, p7_mixture, p7_checked, p8_found, p8_profile]
+    found = [p1_found, p1_percentiles, p2_found, p2_runs, p3_found, p3_counts, p5_found, p5_shares, p5_assigned, p6_found, p6_report, p6_checked, p7_found, p7_shares, p7_mixture, p7_checked, p8_found, p8_profile, p8_checked]
     return {f.__name__: f for f in found}
 
 
@@ -184,7 +203,7 @@ SELECT chrom, n AS n_values, {mid} FROM v"""
 def oracle_sql() -> dict[str, str]:
     """p1_found takes exact percentiles; p7_found takes characters for tokens: no case lies near the limits of either.
 
-    p7_checked states what must hold of any mixture, as SQL can neither count tokens nor draw.
+    The pN_checked queries state what must hold of any result, as SQL can neither clean texts, count tokens nor draw.
     """
     return {
         "p1_found": """WITH u AS (SELECT DISTINCT track_id, chrom, start, "end", value, run_day FROM track_intervals WHERE chrom IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
@@ -204,6 +223,8 @@ SELECT interval_id FROM i JOIN m ON i.chrom = m.chrom WHERE i.split <> m.top""",
         "p5_shares": _SPLITS % ("component", "component IS NOT NULL") + """, g AS (SELECT split_name, count(*) AS n_components, CAST(sum(weight) AS BIGINT) AS n_rows FROM gv GROUP BY split_name)
 SELECT t.split_name, target_share, coalesce(n_components, 0) AS n_components, coalesce(n_rows, 0) AS n_rows FROM split_targets t LEFT JOIN g ON t.split_name = g.split_name""",
         "p5_assigned": _SPLITS % (_OWN, "true") + f" SELECT interval_id, split_name FROM rw JOIN gv ON gv.component = {_OWN.replace('component', 'rw.component')}",
+        "p6_checked": "SELECT suite, count(DISTINCT item_id) AS n_items, true AS once, true AS known FROM eval_items GROUP BY suite",
+        "p8_checked": "SELECT true AS once, true AS with_text, true AS on_scale",
         "p7_checked": "SELECT source, true AS tokens_once, true AS within_repeats, true AS near_target FROM mix_targets",
         "p7_found": """WITH d AS (SELECT lower(trim(source, ' ' || chr(9))) AS k, sum(length(text)) AS n FROM documents GROUP BY 1),
 m AS (SELECT t.*, coalesce(d.n, 0) AS n FROM mix_targets t LEFT JOIN d ON d.k = lower(trim(t.source, ' ' || chr(9))))
