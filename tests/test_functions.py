@@ -57,6 +57,9 @@ def test_bfloat16(spark):
     assert abs(back[4] - 3.140625) < 0.01
     df = spark.createDataFrame([([1.0, None],), (None,)], "v array<float>")
     assert [r[0] for r in df.select(encode.bfloat16_bits(F.col("v"))).collect()] == [[0x3F80, 0x7FC0], None]
+    many = spark.createDataFrame([([float(i)] * (i % 4) if i % 5 else None,) for i in range(50)], "v array<float>")
+    for v, b in many.select("v", encode.bfloat16_bits(F.col("v"))).collect():
+        assert b == (None if v is None else encode.bfloat16_of(np.array(v, np.float32)).tolist())
     encode.check_bfloat16_default(math.nan)
     with pytest.raises(ValueError):
         encode.check_bfloat16_default(1.0)
@@ -66,5 +69,9 @@ def test_encoders(spark):
     df = spark.createDataFrame([("AC",)], "sequence string")
     encode.register_encoder("size", lambda c: F.length(c))
     assert encode.encoded(df, "size").first()[0] == 2 and encode.encoded(df, None).first()[0] == "AC"
+    encode.register_encoder("doubled", lambda c: F.concat(c, c), spark, lambda x: None if x is None else x + x)
+    assert encode.encoded(df, "doubled").first()[0] == "ACAC"
+    df.createOrReplaceTempView("encoded_letters")
+    assert spark.sql("select doubled(sequence), doubled(null) from encoded_letters").first()[:] == ("ACAC", None)
     with pytest.raises(ValueError):
         encode.encoded(df, "unheard of")
