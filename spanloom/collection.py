@@ -97,8 +97,11 @@ class TrackCollection:
         return self.tracks.count()
 
     def intervals(self, include: str | Sequence[str] = "all", exclude: str | Iterable[str] | None = None, blacklist: DataFrame | None = None, blacklist_buffer: int = 0, padding: int = 0, merge: bool = False, threshold: float | None = 0.0, merge_allow_gap: int = 0) -> DataFrame:
-        """Regions of all tracks; see ``operators.algebra.intervals``."""
-        return algebra.intervals(self.steps, include, exclude, blacklist, blacklist_buffer, padding, merge, threshold, merge_allow_gap)
+        """Regions of all tracks; see ``operators.algebra.intervals``. Repeats change nothing where intervals are merged, else they are dropped first."""
+        steps = self.steps.drop("tile")
+        if self.repeats and not merge:
+            steps = steps.select("track_id", "chrom", "start", "end", "value").distinct()
+        return algebra.intervals(steps, include, exclude, blacklist, blacklist_buffer, padding, merge, threshold, merge_allow_gap)
 
     def values(self, queries: Any, window_size: int = 1, default_value: float = 0.0, as_cube: bool = False) -> DataFrame:
         """Value arrays per query and track, or with ``as_cube`` one bins x tracks array per query.

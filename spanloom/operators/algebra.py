@@ -56,7 +56,8 @@ def merge(df: DataFrame, by: Sequence[str] = ("chrom",), allow_gap: int = 0, blo
 
     ``value`` is the largest of the joined rows, null if none has one; it is left out if ``df`` has none. Rows are cut at
     the borders of blocks, so windows cover a (group, block) and need nothing of other blocks; the first and last
-    islands of blocks then meet in a second window of at most two rows a block. The input is read once.
+    islands of blocks then meet in a second window of at most two rows a block. The input is read once. Repeated rows
+    change nothing.
     """
     if allow_gap < 0:
         raise ValueError("a gap is not negative")

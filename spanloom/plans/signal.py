@@ -124,11 +124,11 @@ def merge_gap0(s: SparkSession, d: str) -> DataFrame:
 
 
 def merge_gap_n(s: SparkSession, d: str) -> DataFrame:
-    return algebra.merge(tables.steps(s, d), ["track_id", "chrom"], 50)
+    return algebra.merge(tables.repeated_steps(s, d), ["track_id", "chrom"], 50)
 
 
 def merge_cross_track(s: SparkSession, d: str) -> DataFrame:
-    return algebra.merge(tables.steps(s, d), ["chrom"], 0)
+    return algebra.merge(tables.repeated_steps(s, d), ["chrom"], 0)
 
 
 def subtract_blacklist(s: SparkSession, d: str) -> DataFrame:
@@ -140,8 +140,8 @@ def subtract_blacklist_buffer(s: SparkSession, d: str) -> DataFrame:
 
 
 def intervals_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Scale, threshold, merge and subtract per track, then pad, merge and subtract over all."""
-    steps = algebra.scaled(tables.steps(s, d), tables.tracks(s, d))
+    """Scale, threshold, merge and subtract per track, then pad, merge and subtract over all; merging takes repeats as one."""
+    steps = algebra.scaled(tables.repeated_steps(s, d), tables.tracks(s, d))
     return algebra.intervals(steps, "standard", ["chrM"], table(s, d, "blacklist"), 100, 50, True, 5.0, 10)
 
 

@@ -180,6 +180,9 @@ def test_collection_of_files(spark, rows, tmp_path):
             np.testing.assert_allclose(got[(q, t)], line, rtol=1e-6)
     assert c.intervals(include="chr1", merge=True).count() < c.intervals(include="chr1").count()
     assert TrackCollection.open(spark, [str(tmp_path / "a.bw"), [str(tmp_path / "liver")]], first_n_files=1).n_tracks == 1
+    twice = TrackCollection(spark, c.steps.union(c.steps), c.tracks, c.chroms, repeats=True)
+    for options in ({}, {"merge": True, "threshold": 1.0, "padding": 3}):
+        assert rows(twice.intervals(**options)) == rows(c.intervals(**options))
 
 
 def test_writing_tracks(spark, rows, tmp_path):
